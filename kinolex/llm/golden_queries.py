@@ -21,13 +21,15 @@ def _editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(shared, "work_no").withColumn("text", books.usable(F.col("description")))
 
 
-_COUNT = dict(valid=F.col("ratings_count") >= 0, trust=F.unix_micros("loaded_at"))
+def _count(name: str) -> Bundle:
+    """The latest count that is neither null nor negative, with its time."""
+    return Bundle(name, ("ratings_count", "loaded_at"), F.col("ratings_count") >= 0, F.unix_micros("loaded_at"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edition that supplies ratings_count and description of each work."""
     bundles = [
-        Bundle("ratings_count", ("ratings_count", "loaded_at"), **_COUNT),
+        _count("ratings_count"),
         Bundle("description", ("description",), F.col("text").isNotNull(), F.size(books.words(F.col("text")))),
     ]
     return best_bundles(_editions(spark, sf_dir), "work_no", "book_id", bundles).select(
@@ -43,7 +45,7 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         Bundle("name", ("title", "primary_author", "language_code"), filled("title"), F.coalesce("ratings_count", F.lit(-1)) + F.when(filled("primary_author"), 1e12).otherwise(0), ("lang",), 4),
         Bundle("description", ("description",), F.col("text").isNotNull(), F.size(books.words(F.col("text"))), ("lang",), 2),
         Bundle("edition", ("publication_year", "num_pages"), F.col("publication_year").isNotNull(), F.unix_micros("loaded_at"), ("lang",)),
-        Bundle("count", ("ratings_count", "loaded_at"), **_COUNT),
+        _count("count"),
     ]
     best = best_bundles(df, "work_no", "book_id", bundles)
     wide = best.groupBy("work_no").agg(

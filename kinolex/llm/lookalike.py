@@ -17,6 +17,9 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from kinolex.operators.skew import pairs_in_groups
 
 # Cyrillic and Greek letters that are drawn as a Latin letter, and that letter.
 LOOKALIKE = {
@@ -191,7 +194,7 @@ def with_form(df: DataFrame, text: str, form: str = "form") -> DataFrame:
             made = same_look(b.column(text))
             yield pa.RecordBatch.from_arrays([*b.columns, made], names=[*b.schema.names, form])
 
-    schema = df.schema.add(form, "string")
+    schema = T.StructType([*df.schema.fields, T.StructField(form, T.StringType())])
     return df.mapInArrow(convert, schema)
 
 
@@ -202,8 +205,6 @@ def same_look_pairs(df: DataFrame, group: str, member: str, text: str) -> DataFr
     spelling, and members are added last, so a title that many rows share costs nothing unless it is spelled twice.
     Null, blank and invisible texts pair with nothing. Returns group, {member}_a < {member}_b.
     """
-    from kinolex.operators.skew import pairs_in_groups
-
     rows = with_form(df.select(group, member, text).where(F.length(F.trim(text)) > 0), text).where(F.length("form") > 0)
     spelled = rows.select(F.to_json(F.struct(group, "form")).alias("look"), group, F.col(text).alias("spelling"), member).distinct()
     kinds = spelled.select("look", "spelling").distinct()
