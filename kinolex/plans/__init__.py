@@ -1,8 +1,8 @@
 """Named queries and their SQL equivalents, gathered from this package's modules."""
 
-from kinolex.plans import packed_queries
+from importlib import import_module
 
-_MODULES = (packed_queries,)
+_MODULES = [import_module(f"kinolex.plans.{m}_queries") for m in ("clean", "join", "agg", "vector", "packed")]
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in getattr(m, "SQL", {}).items()}
