@@ -64,7 +64,7 @@ def regex_candidates(s, d):
 
 
 def coerce_numeric(s, d):
-    return table(s, d, "books_v1").select("book_id", F.nanvl(F.coalesce(F.trim("work_id").try_cast("double"), F.lit(0.0)), F.lit(0.0)).cast("bigint").alias("value")).distinct()
+    return table(s, d, "books_v1").select("book_id", F.nanvl(F.coalesce(F.regexp_replace("work_id", r"[\s\p{Z}]", "").try_cast("double"), F.lit(0.0)), F.lit(0.0)).cast("bigint").alias("value")).distinct()
 
 
 def extract_safe_cast(s, d):
@@ -141,7 +141,7 @@ SQL = {
     "tagging_candidates": with_(ITEMS, TAGS) + "SELECT item_id, popularity FROM items WHERE popularity >= 25 AND item_id NOT IN (SELECT item_id FROM tags) ORDER BY popularity DESC, item_id LIMIT 100",
     "retag_candidates": with_(ITEMS, TAGS) + "SELECT item_id, popularity, item_id IN (SELECT item_id FROM tags) AS already_tagged FROM items WHERE popularity >= 40 OR item_id IN (SELECT item_id FROM tags)",
     "regex_candidates": rf"SELECT DISTINCT id, title FROM movies WHERE regexp_matches(lower(concat_ws(' ', title, overview, genres)), '{SCENES}')",
-    "coerce_numeric": "SELECT DISTINCT book_id, CAST(trunc(coalesce(try_cast(trim(work_id) AS DOUBLE), 0)) AS BIGINT) AS value FROM (SELECT book_id, CASE WHEN lower(trim(work_id)) IN ('nan') THEN NULL ELSE work_id END AS work_id FROM books_v1)",
+    "coerce_numeric": r"SELECT DISTINCT book_id, CAST(trunc(coalesce(try_cast(regexp_replace(work_id, '[\s\pZ]', '', 'g') AS DOUBLE), 0)) AS BIGINT) AS value FROM (SELECT book_id, CASE WHEN lower(trim(work_id)) IN ('nan') THEN NULL ELSE work_id END AS work_id FROM books_v1)",
     "extract_safe_cast": "SELECT DISTINCT id, try_cast(split_part(release_date, '-', 1) AS INTEGER) AS year, try_cast(nullif(split_part(release_date, '-', 2), '') AS INTEGER) AS month, coalesce(rating, 0.0) AS rating FROM hardcover_recent",
     "primary_of_list": f"SELECT DISTINCT id, trim(split_part({_CLEAN.format('genres')}, ',', 1)) AS value FROM movies",
     "first_author": "SELECT DISTINCT id, coalesce(list_filter(list_transform(contributions, lambda c: c.author.name), lambda n: coalesce(trim(n), '') <> '')[1], '') AS value FROM hardcover_recent",
