@@ -13,7 +13,7 @@ def pairs_in_groups(
 
     Groups of one row never reach the join. A group of more than ``block`` rows is laid out as a triangle of
     block pairs, each a join key of its own, so no task meets more than ``block`` x ``block`` pairs of one key.
-    Null keys and null members pair with nothing; rows repeated exactly count once.
+    Null keys and null members pair with nothing; rows that are repeated give their pairs as often, so pass distinct ones.
 
     Returns key, {member}_a, {member}_b and the payload columns with the same suffixes; a pair comes once per key.
     ``on`` may restrict pairs: an expression over columns of aliases ``l`` and ``r``, symmetric in both.

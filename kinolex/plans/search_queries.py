@@ -8,6 +8,7 @@ from kinolex.functions import text as X
 from kinolex.operators.relational import top_per_group
 from kinolex.operators.search import contains, popular, ratios, tiered
 from kinolex.plans.adapters import ITEMS, PROF, with_
+from kinolex.sources.files import hash_embed
 from kinolex.sources.tables import items, ratings, table
 
 SEARCHES = ("blue", "ring small", "widget", "x", "gold bolt", "red widget")
@@ -143,11 +144,17 @@ def scan_jsonl(s, d):
     return table(s, d, "events").select("event_id", F.from_json("props", "k bigint").getField("k").alias("k"))
 
 
+def embed_text_encode(s, d):
+    """Hashed vectors of the documents' texts, as the sum of their cells' places: no encoder is available here."""
+    v = hash_embed(table(s, d, "documents").select("doc_id", "text"), "text", "v")
+    return v.select("doc_id", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x), 4).alias("length"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         topn_popular_substring, topn_with_overfetch, studio_search, people_search, find_seed_row, search_tiered, search_fuzzy, join_fuzzy_match, targeted_fetch, tag_line_parse,
-        grounding_check, parse_profile_json, embed_text_build, string_norm_key, string_norm_spaced, string_norm_words, scan_parquet, scan_jsonl,
+        grounding_check, parse_profile_json, embed_text_build, string_norm_key, string_norm_spaced, string_norm_words, embed_text_encode, scan_parquet, scan_jsonl,
     )
 }
 
