@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 USABLE_CHARS = 100
@@ -27,10 +27,13 @@ def plain(c: Column) -> Column:
     return F.regexp_replace(t, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
-def usable(c: Column) -> Column:
-    """Plain text of at least USABLE_CHARS characters, else null."""
-    t = plain(c)
-    return F.when(F.char_length(t) >= USABLE_CHARS, t)
+def with_usable(df: DataFrame, column: str, out: str, outer: bool = False) -> DataFrame:
+    """Rows whose column holds a usable text, with it in ``out``; all rows, with null elsewhere, if ``outer``.
+
+    The text is generated, not projected, so that no filter above repeats its regular expressions.
+    """
+    kept = F.filter(F.array(plain(F.col(column))), lambda t: F.char_length(t) >= USABLE_CHARS)
+    return df.withColumn(out, (F.explode_outer if outer else F.explode)(kept))
 
 
 def words(c: Column) -> Column:

@@ -18,7 +18,7 @@ def _editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     b = b.where(F.col("work_no").isNotNull() & F.col("book_id").isNotNull())
     shared = b.groupBy("work_no").agg(F.min("book_id").alias("lo"), F.max("book_id").alias("hi")).where("lo < hi").select("work_no")
-    return b.join(shared, "work_no").withColumn("text", books.usable(F.col("description")))
+    return books.with_usable(b.join(shared, "work_no"), "description", "text", outer=True)
 
 
 def _count(name: str) -> Bundle:
