@@ -20,6 +20,7 @@ import unicodedata
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -229,10 +230,7 @@ def features(c: Candidate, following: str, gap: str) -> list[int]:
 
 
 def hash_of(x: str) -> int:
-    h = 2166136261
-    for ch in x.encode():
-        h = (h ^ ch) * 16777619 & 0xFFFFFFFF
-    return (h ^ h >> 15) % SLOTS
+    return crc32(x.encode()) % SLOTS
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
@@ -258,7 +256,7 @@ def train(texts: list[str]) -> np.ndarray:
     rng = random.Random(SEED)
     found: list[Candidate] = []
     opening: dict[str, list[str]] = {}
-    for t in texts:
+    for t in dict.fromkeys(texts):  # a text that is repeated is no further evidence
         for lo, hi in paragraphs(t):
             own = candidates(t, lo, hi)
             found += own
@@ -303,18 +301,18 @@ def train(texts: list[str]) -> np.ndarray:
                 rows.append((features(c, rng.choice(pool), gap), 1.0))
         else:
             rows.append((features(c, c.next, c.gap), 0.0 if c.next[:1].islower() else ends_sentences(c.keys())))
-    w, g2 = np.zeros(SLOTS), np.full(SLOTS, 1e-6)
+    w, g2 = [0.0] * SLOTS, [1e-6] * SLOTS
     order = list(range(len(rows)))
     for _ in range(EPOCHS):
         rng.shuffle(order)
         for i in order:
             f, y = rows[i]
-            d = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(w[f].sum()))))) - y
+            d = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum([w[k] for k in f]))))) - y
             for k in f:
                 g = d + 1e-5 * w[k]
                 g2[k] += g * g
                 w[k] -= 0.3 * g / math.sqrt(g2[k])
-    return w
+    return np.array(w)
 
 
 def split(text: str, w) -> list[tuple[int, int]]:
