@@ -74,8 +74,11 @@ class Index:
                 score[t] = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean))
                 self.weight[self.vocabulary[t], i] = score[t]
             self.need[i] = SLACK * min(sum(score[t] for t in set(w[k : k + RUN])) for k in range(len(w) - RUN + 1))
-        self.block_max = self.weight.reshape(len(self.weight), -1, ITEM_BLOCK).max(2)
-        self.block_need = self.need.reshape(-1, ITEM_BLOCK).min(1)
+        self.block_max = self.weight.reshape(len(self.weight), width // ITEM_BLOCK, ITEM_BLOCK).max(2)
+        self.block_need = self.need.reshape(width // ITEM_BLOCK, ITEM_BLOCK).min(1)
+        # every run of RUN words holds one whole chunk of half as many that starts at a multiple of the half
+        half = RUN // 2
+        self.chunks = [["".join(w[k : k + half]) for k in range(0, len(w) - half + 1, half)] for _, w in self.items]
         self.runs = [["".join(w[k : k + RUN]) for k in range(len(w) - RUN + 1)] for _, w in self.items]
 
     def retrieve(self, passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +103,8 @@ class Index:
 
     def holds(self, stream: str, edges: tuple[set[int], set[int]], item: int) -> bool:
         """Whether RUN consecutive words of the item stand in a document's letters, from the start of a word to an end of one."""
+        if not any(c in stream for c in self.chunks[item]):
+            return False
         for run in self.runs[item]:
             at = stream.find(run)
             while at >= 0:
