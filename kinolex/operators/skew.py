@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+SAMPLE = 16
+
+
 def pairs_in_groups(
     df: DataFrame, key: str, member: str, payload: list[str] | None = None, block: int = 2000, on: Column | None = None
 ) -> DataFrame:
     """All pairs (member_a < member_b) of rows that share ``key``, whatever the groups' sizes.
 
-    Groups of one row never reach the join. A group of more than ``block`` rows is laid out as a triangle of
-    block pairs, each a join key of its own, so no task meets more than ``block`` x ``block`` pairs of one key.
+    One member in SAMPLE is counted by key to tell the groups that are clearly larger than ``block`` rows; that only
+    decides how a group is joined, never whether. The others meet in a plain join on the key, of one shuffle. A large
+    group is laid out as a triangle of block pairs, each a join key of its own, so that it is spread over many tasks.
     Null keys and null members pair with nothing; rows that are repeated give their pairs as often, so pass distinct ones.
 
     Returns key, {member}_a, {member}_b and the payload columns with the same suffixes; a pair comes once per key.
@@ -20,21 +24,32 @@ def pairs_in_groups(
     """
     payload = payload or []
     rows = df.select(key, member, *payload).where(F.col(key).isNotNull() & F.col(member).isNotNull())
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
-    rows = rows.join(sizes, key).withColumn("_w", F.ceil(F.col("_n") / F.lit(float(block))).cast("int"))
+    counted = rows.where(F.pmod(F.xxhash64(member, F.lit(SAMPLE)), F.lit(SAMPLE)) == 0).groupBy(key).agg(F.count("*").alias("_n"))
+    hot = counted.where(F.col("_n") * SAMPLE > 2 * max(block, SAMPLE)).select(key)
+    if hot.isEmpty():
+        return _joined(rows, key, member, payload, on, [])
+    cold = _joined(rows.join(hot, key, "left_anti"), key, member, payload, on, [])
+    large = rows.join(hot, key, "left_semi")
+    sizes = large.groupBy(key).agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("_w"))
+    large = large.join(sizes, key)
     home = F.pmod(F.xxhash64(member), F.col("_w")).cast("int")
-    left = rows.withColumn("_i", home).withColumn("_j", F.explode(F.sequence("_i", F.col("_w") - 1)))
-    right = rows.withColumn("_j", home).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_j"))))
-    cond = (
-        (F.col(f"l.{key}") == F.col(f"r.{key}"))
-        & (F.col("l._i") == F.col("r._i"))
-        & (F.col("l._j") == F.col("r._j"))
-        & (F.col(f"l.{member}") != F.col(f"r.{member}"))
-        & ((F.col("l._i") < F.col("l._j")) | (F.col(f"l.{member}") < F.col(f"r.{member}")))
-    )
+    left = large.withColumn("_i", home).withColumn("_j", F.explode(F.sequence("_i", F.col("_w") - 1)))
+    right = large.withColumn("_j", home).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_j"))))
+    return cold.unionByName(_joined(left, key, member, payload, on, ["_i", "_j"], right))
+
+
+def _joined(left: DataFrame, key: str, member: str, payload: list[str], on: Column | None, grid: list[str], right: DataFrame | None = None) -> DataFrame:
+    """Pairs of rows that agree in the key and the place in the grid."""
+    ordered = F.col(f"l.{member}") < F.col(f"r.{member}")
+    cond = F.col(f"l.{key}") == F.col(f"r.{key}")
+    for c in grid:
+        cond = cond & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+    if grid:  # members of different blocks meet once, in either order
+        ordered = (F.col(f"l.{member}") != F.col(f"r.{member}")) & ((F.col("l._i") < F.col("l._j")) | ordered)
+    cond = cond & ordered
     if on is not None:
         cond = cond & on
-    j = left.alias("l").join(right.alias("r"), cond)
+    j = left.alias("l").join((left if right is None else right).alias("r"), cond)
     flip = F.col(f"l.{member}") > F.col(f"r.{member}")
     out = [F.col(f"l.{key}").alias(key)]
     for c in [member, *payload]:

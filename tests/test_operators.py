@@ -10,11 +10,11 @@ from kinolex.operators.skew import pairs_in_groups
 
 
 def test_pairs_of_small_and_split_groups(spark):
-    rows = [("a", k, k * 2) for k in range(40)] + [("b", 1, 0), (None, 3, 0), ("c", None, 0), ("c", 5, 0)]
+    rows = [("a", k, k * 2) for k in range(200)] + [("b", 1, 0), (None, 3, 0), ("c", None, 0), ("c", 5, 0), ("d", 7, 0), ("d", 4, 0)]
     df = spark.createDataFrame(rows, "k string, m int, x int")
     for block in (7, 1000):
         got = [(r.m_a, r.m_b) for r in pairs_in_groups(df, "k", "m", block=block).collect()]
-        assert sorted(got) == sorted([(a, b) for a in range(40) for b in range(a + 1, 40)]), block
+        assert sorted(got) == sorted([(a, b) for a in range(200) for b in range(a + 1, 200)] + [(4, 7)]), block
     assert pairs_in_groups(df.limit(0), "k", "m").count() == 0
 
 
