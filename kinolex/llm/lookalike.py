@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinolex.operators.skew import pairs_in_groups
+from kinolex.session import cut
 
 # Cyrillic and Greek letters that are drawn as a Latin letter, and that letter.
 LOOKALIKE = {
@@ -206,7 +207,7 @@ def same_look_pairs(df: DataFrame, group: str, member: str, text: str) -> DataFr
     Null, blank and invisible texts pair with nothing. Returns group, {member}_a < {member}_b.
     """
     rows = with_form(df.select(group, member, text).where(F.length(F.trim(text)) > 0), text).where(F.length("form") > 0)
-    spelled = rows.select(F.to_json(F.struct(group, "form")).alias("look"), group, F.col(text).alias("spelling"), member).distinct()
+    spelled = cut(rows.select(F.to_json(F.struct(group, "form")).alias("look"), group, F.col(text).alias("spelling"), member).distinct())
     kinds = spelled.select("look", "spelling").distinct()
     kinds = pairs_in_groups(kinds, "look", "spelling")
     a = spelled.select("look", group, F.col("spelling").alias("spelling_a"), F.col(member).alias("_a"))
