@@ -82,6 +82,35 @@ def test_near_copies_against_all_pairs(spark):
     assert m.count() == 0 and nearcopies.all_pairs(m, k, "id").count() == 0
 
 
+def _found_and_true(spark, sets):
+    df = spark.createDataFrame([(f"{k:04d}", sorted(w)) for k, w in enumerate(sets)], "id string, words array<string>")
+    got = {tuple(r) for r in nearcopies.all_pairs(*nearcopies.near_copies(df, "id", "words"), "id").collect()}
+    true = {(f"{a:04d}", f"{b:04d}") for a, b in combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    return got, true
+
+
+def test_near_copies_of_a_third_of_the_rows(spark):
+    """Words that a group of near copies makes frequent still find its pairs."""
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(60)]
+    sets = []
+    for k in range(450):
+        if k % 3:
+            sets.append({f"w{rng.randrange(5000)}" for _ in range(60)})
+        else:
+            edits = rng.choice([3, 6, 8])
+            sets.append(set(rng.sample(base, 60 - edits)) | {f"own{k}-{j}" for j in range(edits)})
+    got, true = _found_and_true(spark, sets)
+    assert len(true) > 5000 and got <= true and len(got) >= 0.99 * len(true)
+
+
+def test_near_copies_of_ten_rows(spark):
+    """In a small table three copies make a word frequent."""
+    sets = [{f"b{j}" for j in range(20)} - {f"b{k}"} | {f"own{k}"} for k in range(4)] + [{f"x{k}-{j}" for j in range(20)} for k in range(6)]
+    got, true = _found_and_true(spark, sets)
+    assert len(true) == 6 and got == true
+
+
 def test_components_of_a_chain(spark):
     e = [(f"{k:03d}", f"{k + 1:03d}") for k in range(0, 40)] + [("a", "b"), ("b", "c"), ("a", "c")]
     nodes = spark.createDataFrame([(x,) for x in sorted({y for p in e for y in p} | {"alone"})], "rep string")
