@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kinolex.operators.knn import exact_topk
 from kinolex.operators.relational import percent_rank_average, top_per_group
 from kinolex.plans.adapters import ITEMS, PROF, TAGS, VECS, with_
-from kinolex.plans.vector_queries import _ANCH, _NEAR, POOL, anchors_near, corpus, tag_neighbours
+from kinolex.plans.vector_queries import _ANCH, _NEAR, FIRST, POOL, anchors_near, corpus, every_50, every_50_sql, tag_neighbours
 from kinolex.sources.tables import items, ratings, vec_items
 
 
@@ -82,15 +82,15 @@ def eval_summary(s, d):
     return long.groupBy("metric").agg(F.lit("anchor_max").alias("method"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("x") / F.sqrt(n), F.lit(0.0)), 6).alias("stderr"))
 
 
-def eval_neighbors(s, d):
+def eval_neighbors(s, d, seeds=FIRST):
     """Per seed: diversity of its ten neighbours, their median rarity, and how many are neighbours by tags too."""
-    near = exact_topk(corpus(s, d), corpus(s, d).where("id < 20"), 10, skip_self=True)
+    near = exact_topk(corpus(s, d), corpus(s, d).where(seeds.format("id")), 10, skip_self=True)
     cells = near.join(corpus(s, d), near.item_id == F.col("id")).select("query_id", F.posexplode("v").alias("pos", "x"))
     sums = cells.groupBy("query_id", "pos").agg(F.sum(F.col("x").cast("double")).alias("t"), F.sum(F.col("x").cast("double") * F.col("x").cast("double")).alias("own"), F.count("*").alias("n"))
     ild = sums.groupBy(F.col("query_id").alias("anchor_id")).agg((1 - F.sum(F.col("t") * F.col("t") - F.col("own")) / (F.max("n") * (F.max("n") - 1))).alias("ild"))
     pct = percent_rank_average(items(s, d), "popularity").select("item_id", (1 - F.col("pct")).alias("rare"))
     rare = near.join(pct, "item_id").groupBy(F.col("query_id").alias("anchor_id")).agg(F.median("rare").alias("novelty"))
-    tags = tag_neighbours(s, d, F.col("item_id") < 20).select(F.col("item_id").alias("query_id"), F.col("other_id").alias("item_id"))
+    tags = tag_neighbours(s, d, F.expr(seeds.format("item_id"))).select(F.col("item_id").alias("query_id"), F.col("other_id").alias("item_id"))
     both = near.join(tags, ["query_id", "item_id"]).groupBy(F.col("query_id").alias("anchor_id")).agg((F.count("*") / 10).alias("o"))
     out = ild.join(rare, "anchor_id", "left").join(both, "anchor_id", "left")
     return out.select("anchor_id", F.round("ild", 6).alias("ild"), F.round("novelty", 6).alias("novelty"), F.round(F.coalesce("o", F.lit(0.0)), 6).alias("tag_overlap"))
@@ -115,6 +115,7 @@ def eval_ablate(s, d):
 
 
 QUERIES = {f.__name__: f for f in (eval_loo, eval_split_80_20, eval_user_sample, eval_recall_hit, eval_summary, eval_neighbors, eval_tune, eval_ablate)}
+QUERIES |= every_50(eval_neighbors)
 
 _SPLIT = """split AS (SELECT profile_id, item_id, row_number() OVER (PARTITION BY profile_id ORDER BY md5(concat_ws('|', 'seed', profile_id, item_id)), item_id)
   <= greatest(1, CAST(round(count(*) OVER (PARTITION BY profile_id) * 0.2) AS INTEGER)) AS is_test FROM prof)"""
@@ -141,3 +142,4 @@ pc AS (SELECT item_id, 1 - (rank() OVER (ORDER BY popularity) + (count(*) OVER (
 nv AS (SELECT anchor_id, median(rare) AS novelty FROM near JOIN pc USING (item_id) GROUP BY 1)""") + """SELECT anchor_id, round(ild, 6) AS ild, round(novelty, 6) AS novelty, round(coalesce(o, 0), 6) AS tag_overlap FROM ild LEFT JOIN nv USING (anchor_id)
 LEFT JOIN (SELECT near.anchor_id, count(*) / 10.0 AS o FROM near JOIN tk ON tk.item_id = near.anchor_id AND tk.other_id = near.item_id GROUP BY 1) USING (anchor_id)""",
 }
+SQL |= every_50_sql(SQL, "eval_neighbors")

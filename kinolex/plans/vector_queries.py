@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from kinolex.functions import text as X
@@ -13,6 +15,8 @@ from kinolex.plans.agg_queries import _TP, _weights, tag_profile
 from kinolex.sources.tables import items, ratings, tags_long, vec_items
 
 POOL = 100
+# The query sets of searches: the ledger's first twenty ids, and every fiftieth id, which grows with the collection.
+FIRST, EVERY_50 = "{0} < 20", "{0} % 50 = 0"
 # Words that titles share without being alike.
 STOP = ("the", "and", "with", "from", "part")
 
@@ -39,13 +43,13 @@ def unrated(df, s, d):
     return df.join(ratings(s, d).select("profile_id", "item_id"), ["profile_id", "item_id"], "left_anti")
 
 
-def knn_topk(s, d):
-    near = exact_topk(corpus(s, d), corpus(s, d).where("id < 20"), 10)
+def knn_topk(s, d, seeds=FIRST):
+    near = exact_topk(corpus(s, d), corpus(s, d).where(seeds.format("id")), 10)
     return near.select(F.col("query_id").alias("anchor_id"), "item_id", F.round("sim", 6).alias("sim"), "rk")
 
 
-def knn_exclude_self(s, d):
-    near = exact_topk(corpus(s, d), corpus(s, d).where("id < 20"), 10, skip_self=True)
+def knn_exclude_self(s, d, seeds=FIRST):
+    near = exact_topk(corpus(s, d), corpus(s, d).where(seeds.format("id")), 10, skip_self=True)
     return near.select(F.col("query_id").alias("anchor_id"), "item_id", F.round("sim", 6).alias("sim"), "rk")
 
 
@@ -78,9 +82,9 @@ def semantic_search_filtered(s, d):
     return top_per_group(one, ["query_id"], [F.desc("sim"), "item_id"], 15).select("item_id", F.round("sim", 6).alias("sim"), "rk")
 
 
-def intra_list_diversity(s, d):
+def intra_list_diversity(s, d, seeds=FIRST):
     """One minus the mean similarity of all pairs in each list: from the length of the sum of its vectors, without pairs."""
-    near = exact_topk(corpus(s, d), corpus(s, d).where("id < 20"), 10, skip_self=True)
+    near = exact_topk(corpus(s, d), corpus(s, d).where(seeds.format("id")), 10, skip_self=True)
     cells = near.join(corpus(s, d), near.item_id == F.col("id")).select("query_id", F.posexplode("v").alias("pos", "x"))
     sums = cells.groupBy("query_id", "pos").agg(F.sum(F.col("x").cast("double")).alias("t"), F.sum(F.col("x").cast("double") * F.col("x").cast("double")).alias("own"), F.count("*").alias("n"))
     ild = sums.groupBy("query_id").agg(F.sum(F.col("t") * F.col("t") - F.col("own")).alias("pairs"), F.max("n").alias("n"))
@@ -97,8 +101,8 @@ def tag_neighbours(s, d, seeds, k=10):
     return top_per_group(sim, ["item_id"], [F.desc("cos"), "other_id"], k)
 
 
-def tag_cosine_topk(s, d):
-    return tag_neighbours(s, d, F.col("item_id") < 20).select("item_id", "other_id", F.round("cos", 6).alias("cos"), "rk")
+def tag_cosine_topk(s, d, seeds=FIRST):
+    return tag_neighbours(s, d, F.expr(seeds.format("item_id"))).select("item_id", "other_id", F.round("cos", 6).alias("cos"), "rk")
 
 
 def tag_rerank(s, d):
@@ -199,6 +203,15 @@ def signed_profile_rank(s, d, cross=0.35, neg=1.0, n=20):
     return top_per_group(out, ["profile_id"], [F.desc("score"), "item_id"], n).drop("rk")
 
 
+def every_50(*queries):
+    """The queries by their names with _every50, asked with every fiftieth id."""
+    return {f"{f.__name__}_every50": partial(f, seeds=EVERY_50) for f in queries}
+
+
+def every_50_sql(sql, *names):
+    return {f"{n}_every50": sql[n].replace(FIRST.format("a.item_id"), EVERY_50.format("a.item_id")) for n in names}
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -206,6 +219,7 @@ QUERIES = {
         tag_search_pos_neg, title_token_overlap, norm_check, round_robin_books, round_robin_films, round_robin_tv, anchor_recs_books, anchor_recs_films, diverse_greedy, signed_profile_rank,
     )
 }
+QUERIES |= every_50(knn_topk, knn_exclude_self, intra_list_diversity, tag_cosine_topk)
 
 _LIKED = "liked0 AS (SELECT profile_id, item_id AS anchor_id, rating, row_number() OVER (PARTITION BY profile_id ORDER BY rating DESC, item_id) AS anchor_no FROM prof WHERE rating >= 3.5 AND item_id IN (SELECT item_id FROM vecs))"
 _NEAR = """near AS (SELECT * FROM (SELECT a.item_id AS anchor_id, b.item_id, list_dot_product(a.v, b.v) AS sim, row_number() OVER (PARTITION BY a.item_id ORDER BY list_dot_product(a.v, b.v) DESC, b.item_id) AS rk
@@ -266,3 +280,4 @@ pick(pick_no, ids) AS (
   SELECT pick_no + 1, list_append(ids, (SELECT p.item_id FROM pool p JOIN pool c ON list_contains(ids, c.item_id) WHERE NOT list_contains(ids, p.item_id) GROUP BY p.item_id, p.rk ORDER BY round(max(list_dot_product(p.v, c.v)), 9), p.rk LIMIT 1)) FROM pick WHERE pick_no < 10)
 SELECT CAST(generate_subscripts(ids, 1) AS INTEGER) AS pick_no, unnest(ids) AS item_id FROM pick WHERE pick_no = 10""",
 }
+SQL |= every_50_sql(SQL, "knn_topk", "knn_exclude_self", "intra_list_diversity", "tag_cosine_topk")

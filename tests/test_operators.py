@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from kinolex import plans
 from kinolex.operators.knn import as_vectors, exact_topk, weighted_vector
 from kinolex.operators.rank import round_robin
 from kinolex.operators.relational import argmax_edition, percent_rank_average, replace_groups, upsert_last
@@ -94,3 +96,11 @@ def test_percent_rank_equals_pandas(spark):
 
     assert np.allclose(got["pct"], pd.Series(vals).rank(pct=True))
     assert percent_rank_average(df.withColumn("v", F.lit(None).cast("int")), "v").count() == 0
+
+
+@pytest.mark.parametrize("name, anchor", [("knn_topk", "anchor_id"), ("knn_exclude_self", "anchor_id"), ("intra_list_diversity", "anchor_id"), ("tag_cosine_topk", "item_id"), ("eval_neighbors", "anchor_id")])
+def test_searches_ask_with_every_fiftieth_id(spark, name, anchor):
+    data = "/root/testdata/sf0.001"
+    ids = {r.vec_id for r in spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()}
+    got = {r[0] for r in plans.QUERIES[f"{name}_every50"](spark, data).select(anchor).collect()}
+    assert max(ids) >= 20 and got == ids
