@@ -8,6 +8,7 @@ from kinolex.functions import text as X
 from kinolex.operators.relational import top_per_group
 from kinolex.operators.search import contains, popular, ratios, tiered
 from kinolex.plans.adapters import ITEMS, PROF, with_
+from kinolex.session import spread
 from kinolex.sources.files import hash_embed
 from kinolex.sources.tables import items, ratings, table
 
@@ -69,14 +70,17 @@ def search_fuzzy(s, d):
 def join_fuzzy_match(s, d):
     """Wanted titles to distinct titles of the catalogue by similarity, at least 0.6; strict maximum, smaller title first.
 
-    Candidates share a word or a word's beginning, so titles are compared within blocks only.
+    The handful of wanted titles is compared with every distinct title.
     """
     want = s.createDataFrame([("blue bollt",), ("red wigdet",), ("smal ring",)], "query string")
-    head = lambda c: F.explode(F.transform(F.split(X.spaced(c), " "), lambda w: F.substring(w, 1, 2)))
-    a = want.select("query", head(F.col("query")).alias("key"))
-    b = items(s, d).groupBy("title").agg(F.min("item_id").alias("item_id")).select("item_id", "title", head(F.col("title")).alias("key"))
-    near = ratios(a.join(b, "key").select("query", "item_id", X.spaced(F.col("query")).alias("q"), X.spaced(F.col("title")).alias("t")).distinct(), "q", "t").where("score >= 0.6")
-    return top_per_group(near, ["query"], [F.desc("score"), "t"], 1).select("query", "item_id", F.round("score", 6).alias("score"))
+    return best_titles(want, items(s, d)).select("query", "item_id", F.round("score", 6).alias("score"))
+
+
+def best_titles(want, catalogue):
+    """(query, item_id, t, score, rk): the most similar distinct title of each query, from 0.6 on."""
+    titles = catalogue.groupBy("title").agg(F.min("item_id").alias("item_id")).select("item_id", X.spaced(F.col("title")).alias("t"))
+    near = ratios(spread(titles).join(F.broadcast(want.withColumn("q", X.spaced(F.col("query"))))), "q", "t").where("score >= 0.6")
+    return top_per_group(near.drop("q"), ["query"], [F.desc("score"), "t", "item_id"], 1)
 
 
 def targeted_fetch(s, d):

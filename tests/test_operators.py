@@ -9,6 +9,7 @@ from kinolex.operators.knn import as_vectors, exact_topk, weighted_vector
 from kinolex.operators.rank import round_robin
 from kinolex.operators.relational import argmax_edition, percent_rank_average, replace_groups, upsert_last
 from kinolex.operators.skew import pairs_in_groups
+from kinolex.plans import search_queries
 
 
 def test_pairs_of_small_and_split_groups(spark):
@@ -104,3 +105,10 @@ def test_searches_ask_with_every_fiftieth_id(spark, name, anchor):
     ids = {r.vec_id for r in spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()}
     got = {r[0] for r in plans.QUERIES[f"{name}_every50"](spark, data).select(anchor).collect()}
     assert max(ids) >= 20 and got == ids
+
+
+def test_fuzzy_match_with_errors_at_word_starts(spark, monkeypatch):
+    rows = [(1, "Xlue Volt"), (2, "Red Gadget"), (3, None), (4, "Zmall Fing")]
+    monkeypatch.setattr(search_queries, "items", lambda s, d: s.createDataFrame(rows, "item_id bigint, title string"))
+    got = {r.query: r.item_id for r in search_queries.join_fuzzy_match(spark, "").collect()}
+    assert got == {"blue bollt": 1, "red wigdet": 2, "smal ring": 4}
