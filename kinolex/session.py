@@ -1,20 +1,23 @@
-"""Session helpers: checkpoint folder, parallelism of scans, size checks."""
+"""Session helpers: checkpoint folder, parallelism of small scans."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable: the cluster's shared folder if it names one, else (tests) an own one."""
+    """Make ``checkpoint()`` usable: the shared folder that spark.checkpoint.dir names, else, with a local master only, an own one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="kinolex-ck-"))
+    if not shared:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="kinolex-ck-")
+    sc.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -24,27 +27,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """More partitions for CPU-heavy Python work where a small scan has fewer than the cluster has cores.
+    """More partitions for CPU-heavy Python work on small files; to be called on a scan with filters and projections only.
 
-    A scan that already has enough partitions is left as it is: no shuffle at scale.
+    A scan whose files already give enough partitions is left as it is, so nothing is shuffled at scale. Nothing runs
+    here: the partitions are estimated from the plan's size and the session's split size.
     """
-    want = per_core * df.sparkSession.sparkContext.defaultParallelism
-    have = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if have >= want else df.repartition(want)
+    spark = df.sparkSession
+    want = per_core * spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    return df if held >= want * split else df.repartition(want)
 
 
 def shuffle_width(df: DataFrame) -> int:
     """Number of partitions for an explicit repartitioning: the session's setting, but no fewer than the cores."""
     spark = df.sparkSession
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
-def first_row(df: DataFrame):
-    rows = df.take(1)
-    return rows[0] if rows else None
-
-
-def blank_to_null(c):
-    """Null for the missing markers of the catalogue: null, blanks and 'nan' in any case."""
-    t = F.trim(c)
-    return F.when((F.length(t) > 0) & (F.lower(t) != "nan"), c)

@@ -1,4 +1,5 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -8,7 +9,8 @@ from kinolex import plans
 from kinolex.operators.knn import as_vectors, exact_topk, weighted_vector
 from kinolex.operators.rank import round_robin
 from kinolex.operators.relational import argmax_edition, percent_rank_average, replace_groups, upsert_last
-from kinolex.operators.skew import pairs_in_groups
+from kinolex.operators.skew import pairs_in_groups, split_join
+from kinolex.session import checkpoint_ready
 from kinolex.plans import search_queries
 
 
@@ -112,3 +114,21 @@ def test_fuzzy_match_with_errors_at_word_starts(spark, monkeypatch):
     monkeypatch.setattr(search_queries, "items", lambda s, d: s.createDataFrame(rows, "item_id bigint, title string"))
     got = {r.query: r.item_id for r in search_queries.join_fuzzy_match(spark, "").collect()}
     assert got == {"blue bollt": 1, "red wigdet": 2, "smal ring": 4}
+
+
+@pytest.mark.parametrize("other", [None, ["v"]])
+def test_split_join_with_hot_keys(spark, other):
+    left = spark.createDataFrame([(k % 3 if k % 2 else 7, k) for k in range(900)] + [(None, 1), (99, 2)], "k int, u int")
+    right = spark.createDataFrame([(0, 0), (1, 1), (7, 2), (7, 3), (None, 4), (5, 5)] + [(7, v) for v in range(100, 400)], "k int, v int")
+    want = sorted(map(tuple, left.join(right, ["k"]).collect()))
+    assert sorted(map(tuple, split_join(left, right, ["k"], ["u"], other, block=20).select("k", "u", "v").collect())) == want
+    if other is None:
+        assert split_join(left, right, ["k"], ["u"], how="left", block=20).count() == left.join(right, ["k"], "left").count()
+        assert split_join(left, right, ["k"], ["u"], how="left_semi", block=20).count() == left.join(right, ["k"], "left_semi").count()
+    assert split_join(left.limit(0), right, ["k"], ["u"], other).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    context = SimpleNamespace(master="yarn", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_ready(SimpleNamespace(sparkContext=context, conf={}))
