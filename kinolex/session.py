@@ -35,7 +35,7 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     spark = df.sparkSession
     want = per_core * spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df if held >= want * split else df.repartition(want)
 
 
