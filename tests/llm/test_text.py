@@ -1,8 +1,10 @@
+import pickle
 import random
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from kinolex.llm import leaks, lookalike, sentences
@@ -65,12 +67,48 @@ def test_retrieval_loses_nothing():
         k = rng.randrange(20)
         at = rng.randrange(24)
         text = " ".join([rng.choice(words) for _ in range(20)] + items[k][1].split()[at : at + 16] + [rng.choice(words) for _ in range(20)])
-        known = np.unique([index.vocabulary[t] for t in leaks.terms(text) if t in index.vocabulary])
-        _, found = index.retrieve([known])
+        _, found = index.retrieve(leaks.passages_of(index, leaks._fold(text)))
         assert k in found
         assert index.holds(*leaks.letters(text), k)
 
 
+@pytest.mark.parametrize("pairs", range(9))
+def test_hyphens_between_words_cost_nothing(pairs):
+    rng = random.Random(pairs)
+    items = [(k, " ".join(f"t{rng.randrange(3000)}" for _ in range(40))) for k in range(200)]
+    index = leaks.Index(items)
+    for _ in range(100):
+        k, at = rng.randrange(200), rng.randrange(24)
+        w = items[k][1].split()[at : at + 16]
+        run = [f"{w[2 * x]}-{w[2 * x + 1]}" for x in range(pairs)] + w[2 * pairs :]
+        text = leaks._fold(" ".join(["other", "words", *run, "behind"]))
+        assert k in index.retrieve(leaks.passages_of(index, text))[1] and index.holds(*leaks.letters(text), k)
+
+
+def test_wand_equals_all_scores():
+    """Pivots and block maxima skip nothing that reaches the threshold; the index is as large as its postings."""
+    rng = random.Random(3)
+    word = lambda: f"w{min(rng.randrange(1, 900) for _ in range(3))}"
+    index = leaks.Index([(k, " ".join(word() for _ in range(rng.randint(16, 60)))) for k in range(300)])
+    dense = np.zeros((len(index.vocabulary), len(index.items)))
+    for t in range(len(index.vocabulary)):
+        span = slice(index.block_post[index.list_block[t]], index.block_post[index.list_block[t + 1]])
+        dense[t, index.item[span]] = index.weight[span]
+    passages = [np.unique([index.vocabulary[w] for w in (word() for _ in range(rng.randint(0, 90))) if w in index.vocabulary]).astype(np.int64) for _ in range(400)]
+    want = {(p, i) for p, terms in enumerate(passages) for i in np.flatnonzero(dense[terms].sum(0) >= 1 - 1e-4)}
+    assert want and set(zip(*map(list, index.retrieve(passages)))) == want
+    large = leaks.Index([(k, " ".join(f"v{rng.randrange(50_000)}" for _ in range(100))) for k in range(4000)])
+    assert len(pickle.dumps(large)) < 20e6
+
+
+def test_leaks_in_segments(spark):
+    rng = random.Random(2)
+    items = [(k, " ".join(f"s{rng.randrange(500)}" for _ in range(20))) for k in range(60)]
+    docs = spark.createDataFrame([(k, f"so {t} it is") for k, t in items], "doc_id bigint, text string")
+    got = leaks.leaks(docs, spark.createDataFrame(items, "item_id bigint, text string"), segment_chars=2000)
+    assert sorted(map(tuple, got.collect())) == [(k, k) for k, _ in items]
+
+
 def _training(n=300):
     rng = random.Random(7)
     name = lambda: "".join(rng.choice(["ba", "ko", "ri", "ne", "tu", "sa"]) for _ in range(3)).capitalize()
