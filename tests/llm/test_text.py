@@ -1,6 +1,7 @@
 import pickle
 import random
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -124,7 +125,10 @@ TRAIN = _training()
 
 
 def test_sentences():
-    w = sentences.train(TRAIN).tolist()
+    sample, n = sentences.Sample(TRAIN), Counter()
+    for t in TRAIN:
+        n.update(sentences.counts_of(t, sentences.parsed(t)[3], sample.keys, sample.words))
+    w = sentences.train(sample, n)
     cut = lambda t: [t[a:b] for a, b in sentences.split(t, w)]
     assert cut("Dr. Adams left the town. The ship stayed. See p. 9 of it.") == ["Dr. Adams left the town.", "The ship stayed.", "See p. 9 of it."]
     assert cut("Heading\n\n It rained. \n") == ["Heading", "It rained."]
