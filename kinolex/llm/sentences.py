@@ -46,6 +46,7 @@ CLOSERS = set(")]}”“»«›’‘」』）］》〉】〕｣\"'")
 _TERM = re.compile(f"[{re.escape(TERMINATORS)}]+")
 _BREAK = re.compile(r"[^\S\n]*(?:\r\n|\n|\r| )(?:[^\S\n]*(?:\r\n|\n|\r| ))+\s*| \s*")
 _MARK = re.compile("[" + re.escape("".join(sorted(set(PAIRS) | CLOSERS))) + "]")
+_THAI = re.compile("[฀-๿]")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=\S)|(?<=\S)\s+(?=[฀-๿])")
 
 
@@ -120,17 +121,25 @@ class Candidate:
 
 def _word_before(text: str, lo: int, at: int) -> tuple[str, int]:
     """The word that ends at ``at`` (digits as 0, small letters; its last WORD characters) and where it begins."""
-    k = at
-    while k > lo and not text[k - 1].isspace() and text[k - 1] not in CLOSERS and text[k - 1] not in PAIRS and at - k < WORD:
-        k -= 1
-    w = text[k:at].strip(",;:¿¡")
+    tail = text[max(lo, at - WORD) : at][::-1]
+    stop = _STOP.search(tail)
+    w = tail[: stop.start()] if stop else tail
+    return _known(w[::-1]), at - len(w)
+
+
+_STOP = re.compile(r"[\s" + re.escape("".join(sorted(set(PAIRS) | CLOSERS))) + "]")
+
+
+@lru_cache(maxsize=1 << 16)
+def _known(w: str) -> str:
+    w = w.strip(",;:¿¡")
     if w and _script(w[-1]) in ("cjk",):
-        return "", k
+        return ""
     glued = re.match(r"[^\W\d_]{4,}[.!?…]+(?=[^\W\d_])", w)
     if glued:  # the end of another sentence without white space
         w = w[glued.end() :]
     w = re.sub(r"\d+(?:[.,:/]\d+)*", "0", w)
-    return w if len(w) == 1 else w.lower(), k
+    return w if len(w) == 1 else w.lower()
 
 
 def candidates(text: str, lo: int, hi: int) -> list[Candidate]:
@@ -228,10 +237,16 @@ def _glued(text: str, s: int, c: Candidate) -> bool:
 
 def features(c: Candidate, following: str, gap: str) -> list[int]:
     """WIDTH numbers of features."""
+    kind, word = _ahead(following)
+    return [word, *_hashed(c.term, c.script, c.prev, c.closer, c.at_start, kind, gap), *_kinds(c.keys())]
+
+
+@lru_cache(maxsize=1 << 16)
+def _ahead(following: str) -> tuple[str, int]:
     n = following[:1]
     word = re.match(r"[^\W_]*", following).group().lower()[:12]
     kind = "lower" if n.islower() else "upper" if n.isupper() else "digit" if n.isdigit() else "letter" if n.isalpha() else "open" if n in PAIRS or n in "\"'¿¡" else "mark"
-    return [hash_of("w" + word), *_hashed(c.term, c.script, c.prev, c.closer, c.at_start, kind, gap), *_kinds(c.keys())]
+    return kind, hash_of("w" + word)
 
 
 @lru_cache(maxsize=1 << 16)
@@ -249,7 +264,6 @@ def _kinds(keys: tuple[tuple, ...]) -> tuple[int, ...]:
     return (*(hash_of(f"k{k}") for k in keys), *[SLOTS] * (2 - len(keys)))
 
 
-@lru_cache(maxsize=1 << 16)
 def hash_of(x: str) -> int:
     return crc32(x.encode()) % SLOTS
 
@@ -374,7 +388,7 @@ def parsed(text: str) -> tuple[list[Candidate], list[tuple[int, int, int]], list
         found += own
         inner = [(c.end, 2, c.start) for c in own if not c.final]
         open_ += [c for c in own if not c.final]
-        if "฀" <= max(text[lo:hi]):
+        if _THAI.search(text, lo, hi):
             spans = pairs_of(text, lo, hi)
             inner += [(m.start(), 1, m.end()) for m in _THAI_GAP.finditer(text, lo, hi) if not any(s < m.start() < e for s, e in spans)]
         marks.append((lo, 0, hi))
