@@ -9,7 +9,7 @@ Three steps keep this distributed:
    be in a best choice. That is an aggregation with map-side combination, so a group that holds a third of all rows
    shrinks to one row per distinct combination before anything is gathered.
 2. Bound. A first choice, which follows the leading bundle's best candidate, bounds the cost; candidates whose rank
-   alone costs more are dropped. Groups with a first choice of cost zero are finished here.
+   alone costs more are dropped.
 3. Branch and bound over the candidates that are left, group by group.
 """
 
@@ -65,10 +65,6 @@ def _candidates(df: DataFrame, key: str, record: str, bundles: list[Bundle]) ->
     return each.groupBy("_key", F.col("c.bundle").alias("bundle"), F.col("c.sig").alias("sig")).agg(best)
 
 
-def _fits(a: Column, b: Column) -> Column:
-    return ~F.exists(F.zip_with(a, b, lambda x, y: x.isNotNull() & y.isNotNull() & (x != y)), lambda x: F.coalesce(x, F.lit(False)))
-
-
 def _search(weights: list[int]):
     """Branch and bound per group: bundles in order, candidates by rank, cut where the bound isn't better."""
 
@@ -117,9 +113,6 @@ def best_bundles(df: DataFrame, key: str, record: str, bundles: list[Bundle]) ->
     cand = _candidates(df, key, record, bundles)
     kind = dict(cand.dtypes)["_key"]
     names = F.array(*[F.lit(b.name) for b in bundles])
-    tidy = lambda d: d.select(F.col("_key").alias(key), F.element_at(names, F.col("bundle") + 1).alias("bundle"), "record", "vals")
-    if not any(b.agree for b in bundles):  # no dependencies: dominance has left one candidate per bundle
-        return tidy(cand.select("_key", "bundle", F.col("best._record").alias("record"), F.col("best.vals").alias("vals")))
     weight = F.element_at(F.array(*[F.lit(b.weight) for b in bundles]), F.col("bundle") + 1)
     by = Window.partitionBy("_key", "bundle").orderBy("best.less", "best._record", F.col("sig").cast("string"))
     ranked = cand.withColumn("rk", F.row_number().over(by) - 1)
@@ -130,11 +123,10 @@ def best_bundles(df: DataFrame, key: str, record: str, bundles: list[Bundle]) ->
     first = ranked.groupBy("_key", "bundle").agg(F.min(F.when(exact, F.col("rk"))).alias("first"))
     cost = first.groupBy("_key").agg(F.sum(weight * F.coalesce("first", F.lit(MISSING_COST))).alias("ub"))
     ranked = ranked.join(cost, "_key")
-    done = ranked.where("ub = 0 and rk = 0").select("_key", "bundle", F.col("best._record").alias("record"), F.col("best.vals").alias("vals"))
     open_ = (
-        ranked.where((F.col("ub") > 0) & (weight * F.col("rk") <= F.col("ub")))
+        ranked.where(weight * F.col("rk") <= F.col("ub"))
         .groupBy("_key")
         .agg(F.collect_list(F.struct("bundle", "sig", "rk", F.col("best._record").alias("record"), F.col("best.vals").alias("vals"))).alias("cands"))
     )
     solved = open_.mapInPandas(_search([b.weight for b in bundles]), f"_key {kind}, bundle int, record string, vals string")
-    return tidy(done.unionByName(solved))
+    return solved.select(F.col("_key").alias(key), F.element_at(names, F.col("bundle") + 1).alias("bundle"), "record", "vals")

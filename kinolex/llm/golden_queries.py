@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinolex.llm import books
 from kinolex.llm.golden import Bundle, best_bundles
+from kinolex.operators.skew import split_join
 from kinolex.sources import table
 
 
@@ -18,19 +19,22 @@ def _editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     b = b.where(F.col("work_no").isNotNull() & F.col("book_id").isNotNull())
     shared = b.groupBy("work_no").agg(F.min("book_id").alias("lo"), F.max("book_id").alias("hi")).where("lo < hi").select("work_no")
-    return books.with_usable(b.join(shared, "work_no"), "description", "text", outer=True)
+    return books.with_usable(split_join(b, shared, ["work_no"], ["book_id"]), "description", "text", outer=True)
 
 
-def _count(name: str) -> Bundle:
+def _count(name: str, agree: tuple[str, ...] = ()) -> Bundle:
     """The latest count that is neither null nor negative, with its time."""
-    return Bundle(name, ("ratings_count", "loaded_at"), F.col("ratings_count") >= 0, F.unix_micros("loaded_at"))
+    return Bundle(name, ("ratings_count", "loaded_at"), F.col("ratings_count") >= 0, F.unix_micros("loaded_at"), agree)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edition that supplies ratings_count and description of each work."""
+    """The edition that supplies ratings_count and description of each work.
+
+    What the problem states depends on the work alone, so that is the column in which the two bundles agree.
+    """
     bundles = [
-        _count("ratings_count"),
-        Bundle("description", ("description",), F.col("text").isNotNull(), F.size(books.words(F.col("text")))),
+        _count("ratings_count", ("work_no",)),
+        Bundle("description", ("description",), F.col("text").isNotNull(), F.size(books.words(F.col("text"))), ("work_no",)),
     ]
     return best_bundles(_editions(spark, sf_dir), "work_no", "book_id", bundles).select(
         "work_no", F.col("bundle").alias("field"), F.col("record").alias("book_id")
@@ -71,5 +75,25 @@ u AS (
   SELECT work_no, 'description', book_id,
          row_number() OVER (PARTITION BY work_no ORDER BY len(list_distinct(regexp_extract_all(lower(txt), '[\pL\pN]+'))) DESC, book_id)
   FROM s WHERE length(txt) >= 100)
-SELECT work_no, field, book_id FROM u WHERE rk = 1"""
+SELECT work_no, field, book_id FROM u WHERE rk = 1""",
+    # every consistent choice of name, description and edition of each work, by cost
+    "p1_records": rf"""
+WITH b AS (SELECT *, {books.SQL_WORK_NO} AS work_no, {books.SQL_PLAIN} AS txt, lower(substr(language_code, 1, 2)) AS lang FROM books_v1),
+s AS (SELECT * FROM b WHERE work_no > 0 AND work_no IN (SELECT work_no FROM b WHERE work_no > 0 GROUP BY 1 HAVING count(DISTINCT book_id) > 1)),
+c AS (
+  SELECT 1 AS bundle, coalesce(ratings_count, -1) + CASE WHEN trim(coalesce(primary_author, '')) <> '' THEN 1e12 ELSE 0 END AS trust, * FROM s WHERE trim(coalesce(title, '')) <> ''
+  UNION ALL SELECT 2, len(list_distinct(regexp_extract_all(lower(txt), '[\pL\pN]+'))), * FROM s WHERE length(txt) >= 100
+  UNION ALL SELECT 3, epoch_us(loaded_at), * FROM s WHERE publication_year IS NOT NULL
+  UNION ALL SELECT 4, epoch_us(loaded_at), * REPLACE (NULL AS lang) FROM s WHERE ratings_count >= 0 AND book_id IS NOT NULL),
+d AS (SELECT * FROM c WHERE book_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY work_no, bundle, lang ORDER BY trust DESC NULLS LAST, book_id) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY work_no, bundle ORDER BY trust DESC NULLS LAST, book_id) - 1 AS rk FROM d),
+o AS (SELECT work_no, bundle, rk, rk AS cost, lang, book_id, title, primary_author, language_code, description, publication_year, num_pages FROM r
+      UNION ALL SELECT DISTINCT w.work_no, k.bundle, NULL::BIGINT, CASE WHEN r.work_no IS NULL THEN 0 ELSE 1000000 END, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+      FROM (SELECT DISTINCT work_no FROM r) w CROSS JOIN (SELECT unnest([1, 2, 3]) AS bundle) k LEFT JOIN r ON r.work_no = w.work_no AND r.bundle = k.bundle),
+chosen AS (
+  SELECT n.work_no, n.title, n.primary_author, n.language_code, e.publication_year, e.num_pages, t.description, n.book_id AS name_from, t.book_id AS description_from
+  FROM o n JOIN o t ON n.work_no = t.work_no AND n.bundle = 1 AND t.bundle = 2 AND (n.lang = t.lang) IS NOT FALSE
+  JOIN o e ON e.work_no = n.work_no AND e.bundle = 3 AND (n.lang = e.lang) IS NOT FALSE AND (t.lang = e.lang) IS NOT FALSE
+  QUALIFY row_number() OVER (PARTITION BY n.work_no ORDER BY 4 * n.cost + 2 * t.cost + e.cost, n.rk NULLS LAST, t.rk NULLS LAST, e.rk NULLS LAST) = 1)
+SELECT chosen.*, q.ratings_count FROM chosen LEFT JOIN r q ON q.work_no = chosen.work_no AND q.bundle = 4 AND q.rk = 0""",
 }

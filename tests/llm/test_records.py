@@ -41,7 +41,7 @@ def test_bundles_against_all_choices(spark):
                 sig = lang if ag else None
                 if sig not in best or (-v, i) < best[sig]:
                     best[sig] = (-v, i)
-        return [(n, i, s) for n, ((_, i), s) in enumerate(sorted((v, s) for s, v in best.items()))] if False else [(n, t[1], s) for n, (t, s) in enumerate(sorted(((v, s) for s, v in best.items()), key=lambda x: x[0]))]
+        return [(n, t[1], s) for n, (t, s) in enumerate(sorted(((v, s) for s, v in best.items()), key=lambda x: x[0]))]
 
     for k in {r[0] for r in rows}:
         lists = [ranked(k, f, ag) for _, f, ag, _ in spec]
