@@ -3,7 +3,9 @@
 1. Tokens of every text are counted with a public tokenizer.
 2. Documents of a source are laid out, in a seeded order and by shards, in blocks of nearly equal numbers of tokens.
 3. Sainte-Lague apportionment gives each source its number of blocks: one at a time to the highest quotient
-   share / (2 given + 1), no source beyond its blocks times its repeats. The same divides a source's blocks among shards.
+   share / (2 given + 1), no source beyond its blocks times its repeats. The same divides a source's blocks among groups
+   of shards, of which there are at most MOST_GROUPS, and, distributed, those of a group among its shards. Shards hold
+   SHARD_TOKENS whatever the size of the collection.
 4. Each shard takes whole passes over its blocks, and for the rest blocks in a seeded order.
 """
 
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,18 +25,19 @@ from pyspark.sql import functions as F
 from kinolex.session import cut, spread
 
 BLOCK_TOKENS = 512
-SHARD_TOKENS, MOST_SHARDS = 5_000_000, 4_096
+SHARD_TOKENS, MOST_GROUPS = 5_000_000, 1_024
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+# Fixed value: the public pattern that divides a text before byte pairs are merged.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @lru_cache(maxsize=2)
 def _encoding(path: str):
-    import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def with_tokens(df: DataFrame, text: str, path: str = TOKENIZER) -> DataFrame:
@@ -89,23 +93,32 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     counted = cut(with_tokens(docs.select("doc_id", "source", "text"), "text", path).where("n_tokens > 0"))
     by_source = counted.groupBy("source").agg(F.sum("n_tokens").alias("n"))
     size = total_tokens or sum(r.n for r in by_source.agg(F.sum("n").alias("n")).collect() if r.n)
-    shards = int(min(MOST_SHARDS, max(1, -(-(size or 0) // SHARD_TOKENS))))
+    shards = int(max(1, -(-(size or 0) // SHARD_TOKENS)))
     rows = counted.where(F.col("doc_id").isNotNull() & F.col("source").isin([s for s in goal]))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).cast("int"))
-    have = {(r.source, r.shard): r.n for r in rows.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).collect()}  # at most MOST_SHARDS per source
-    blocks = {k: max(1, round(n / BLOCK_TOKENS)) for k, n in have.items()}
+    held = rows.groupBy("source", "shard").agg(F.sum("n_tokens").alias("held"))
+    held = held.withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("held") / BLOCK_TOKENS)).cast("int")).withColumn("part", F.col("shard") % MOST_GROUPS)
+    held = cut(held)
+    groups = held.groupBy("source", "part").agg(F.sum("held").alias("held"), F.sum("blocks").alias("blocks")).orderBy("source", "part").collect()  # MOST_GROUPS a source
     sources = sorted(goal)
-    per_source = [sum(b for (s, _), b in blocks.items() if s == x) for x in sources]
+    per_source = [sum(g.blocks for g in groups if g.source == x) for x in sources]
     quota = sainte_lague([goal[s][0] for s in sources], round((size or 0) / BLOCK_TOKENS), [b * goal[s][1] for s, b in zip(sources, per_source)])
-    plan = []
+    plan = {}
     for s, q in zip(sources, quota):
-        own = sorted(k for k in blocks if k[0] == s)
-        for k, part in zip(own, sainte_lague([have[k] for k in own], q, [blocks[k] * goal[s][1] for k in own])):
-            plan.append((k[0], k[1], have[k], blocks[k], part // blocks[k], part % blocks[k]))
+        own = [g for g in groups if g.source == s]
+        for g, n in zip(own, sainte_lague([g.held for g in own], q, [g.blocks * goal[s][1] for g in own])):
+            plan[s, g.part] = n
+
+    def divide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("shard")
+        s = pdf["source"].iloc[0]
+        got = np.array(sainte_lague(pdf["held"].tolist(), plan[s, pdf["part"].iloc[0]], (pdf["blocks"] * goal[s][1]).tolist()))
+        return pdf[["source", "shard", "held", "blocks"]].assign(passes=got // pdf["blocks"], rest=got % pdf["blocks"])
+
     spark = docs.sparkSession
-    table = spark.createDataFrame(plan, "source string, shard int, held bigint, blocks int, passes int, rest int")
+    table = held.groupBy("source", "part").applyInPandas(divide, "source string, shard int, held bigint, blocks int, passes int, rest int")
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    laid = rows.withColumn("before", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).join(F.broadcast(table), ["source", "shard"])
+    laid = rows.withColumn("before", F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).join(table, ["source", "shard"])
     middle = (F.col("before") + F.col("n_tokens") / 2) * F.col("blocks") / F.col("held")
     laid = laid.withColumn("block", F.least(F.floor(middle).cast("int"), F.col("blocks") - 1))
     ranked = table.select("source", "shard", "rest", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinolex.operators.skew import split_join
 from kinolex.llm import books, golden, linkage, mixing, nearcopies, vectors
 
 
@@ -166,6 +167,22 @@ def test_linkage(spark):
     assert linkage.link(left.limit(0), right).count() == 0
 
 
+def test_long_titles_stay_whole(spark):
+    for article in ("", "The "):
+        df = spark.createDataFrame([(1, article + " ".join(f"word{k}" for k in range(120)))], "id int, t string")
+        assert len(linkage.with_title_parts(df, "t").first().core) == 120
+
+
+def test_hot_blocks_of_the_linkage(spark, monkeypatch):
+    """Blocks that are divided propose the same pairs."""
+    rows = [(k, f"The Same Title {k % 3}", "Ann Lee", None, 1990 + k % 4, 100) for k in range(60)]
+    df = spark.createDataFrame(rows, "id int, t string, p string, d string, y int, n int")
+    side = lambda: linkage.prepared(df, "id", F.col("t"), F.array("p"), F.col("d"), F.col("y"), F.col("n"))
+    whole = sorted(map(tuple, linkage.link(side(), side()).collect()))
+    monkeypatch.setattr(linkage, "split_join", lambda *a, **k: split_join(*a, **{**k, "block": 4}))
+    assert whole and sorted(map(tuple, linkage.link(side(), side()).collect())) == whole
+
+
 def test_volumes_are_different_books(spark):
     rows = [("a", "The Long Saga: Book One"), ("b", "The Long Saga - Part 2"), ("c", "Night Watch Moon Cycle 5"), ("d", "Night Watch (Moon Cycle, #5)")]
     got = {r.id: r for r in linkage.with_title_parts(spark.createDataFrame(rows, "id string, t string"), "t").collect()}
@@ -231,6 +248,17 @@ def test_apportionment_against_plain_highest_quotients():
         assert mixing.sainte_lague(v, seats, caps) == given
 
 
+def test_mixture_of_many_shards(spark, monkeypatch):
+    """More shards than groups: shares hold, and nothing depends on the driver's knowing the shards."""
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", 2000)
+    monkeypatch.setattr(mixing, "MOST_GROUPS", 3)
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(k, rng.choice("aab"), "word " * rng.randint(1, 60)) for k in range(2000)], "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.6, 3)], "source string, target_share double, max_repeats int")
+    out = mixing.mix(docs, targets, total_tokens=40_000).collect()
+    assert abs({r.source: r.actual_share for r in out}["b"] - 0.6) < 0.04 and len({r.doc_id for r in out}) == len(out)
+
+
 def test_mixture(spark):
     rng = random.Random(1)
     rows = [(k, rng.choice(["a"] * 6 + ["b"] * 3 + ["c"]), "word " * rng.randint(1, 60), 0) for k in range(3000)] + [(9001, None, "x", 0), (9002, "other", "x y", 0), (None, "a", "x", 0), (9003, "a", None, 0), (9004, "b", "", 0), (9005, "b", "long " * 3000, 0)]
