@@ -226,6 +226,23 @@ def test_nearest_recall_with_partitions(spark, monkeypatch):
     assert len(got & true) / len(true) >= 0.9
 
 
+@pytest.mark.parametrize("n", [1200, 4800])
+def test_nearest_recall_with_two_levels(spark, monkeypatch, n):
+    """Partitions grow in number, not in size; recall stays, for all and for asked ids alone."""
+    monkeypatch.setattr(vectors, "PER_PARTITION", 60)
+    monkeypatch.setattr(vectors, "FAN", 8)
+    monkeypatch.setattr(vectors, "SAMPLE", 600)
+    monkeypatch.setattr(vectors, "SAMPLE_BELOW", 300)
+    x = _vectors(n)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "key bigint, v array<float>")
+    exact = _exact(x, 5)
+    got = {(r.id, r.other) for r in vectors.nearest(df, "key", "v", dim=16).collect()}
+    true = {(k, o) for k, v in exact.items() for o in v}
+    assert len(got & true) / len(true) >= 0.9
+    some = {(r.id, r.other) for r in vectors.nearest(df, "key", "v", dim=16, queries="id % 50 = 0").collect()}
+    assert some == {p for p in got if p[0] % 50 == 0}
+
+
 def test_partition_is_balanced():
     x = _vectors(600)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
