@@ -22,21 +22,31 @@ def norm(a) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def _block_top(k: int, skip_self: bool):
+def _block_top(k: int, skip_self: bool, digits: int | None):
     def run(t: pa.Table) -> pa.Table:
-        asked = t.column("q").to_numpy()
-        ids = t.column("id").to_numpy()
-        flat = t.column("v").combine_chunks()
-        x = np.asarray(flat.flatten(), np.float64).reshape(len(ids), -1)
-        d_id, d, q_id, q = ids[~asked], x[~asked], ids[asked], x[asked]
+        kind = t.column("kind").to_numpy()
+
+        def side(which: int) -> tuple[np.ndarray, np.ndarray]:
+            own = t.filter(pa.array(kind == which))
+            ids = own.column("id").to_numpy()
+            return ids, np.asarray(own.column("v").combine_chunks().flatten(), np.float64).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+
+        (d_id, d), (q_id, q) = side(0), side(1)
         out_q, out_d, out_s = [], [], []
-        take = min(k + 1, len(d_id))
-        if take and len(q_id):
+        if len(d_id) and len(q_id):
             order = np.argsort(d_id)
             d_id, d = d_id[order], d[order]
-            s = q @ d.T
+            s = q @ d.T if digits is None else np.round(q @ d.T, digits) + 0.0
             if skip_self:
                 s[q_id[:, None] == d_id[None]] = -np.inf
+            mask = t.filter(pa.array(kind == 2))
+            if mask.num_rows:
+                at, item, by = mask.column("asker").to_numpy(), mask.column("id").to_numpy(), np.argsort(q_id)
+                r, c = np.searchsorted(q_id[by], at), np.searchsorted(d_id, item)
+                known = (r < len(q_id)) & (c < len(d_id))
+                r, c, at, item = by[r[known]], c[known], at[known], item[known]
+                same = (q_id[r] == at) & (d_id[c] == item)
+                s[r[same], c[same]] = -np.inf
             kth = np.partition(s, s.shape[1] - min(k, s.shape[1]), axis=1)[:, s.shape[1] - min(k, s.shape[1])]
             rows, cols = np.nonzero((s >= kth[:, None] - 1e-12) & np.isfinite(s))  # ties at the border go on to the merge
             out_q, out_d, out_s = q_id[rows], d_id[cols], s[rows, cols]
@@ -45,23 +55,31 @@ def _block_top(k: int, skip_self: bool):
     return run
 
 
-def exact_topk(corpus: DataFrame, queries: DataFrame, k: int, skip_self: bool = False) -> DataFrame:
+def exact_topk(corpus: DataFrame, queries: DataFrame, k: int, skip_self: bool = False, digits: int | None = None, exclude: DataFrame | None = None) -> DataFrame:
     """(query_id, item_id, sim, rk): the k items with the largest inner product, ties to the smaller id.
 
+    ``digits``: inner products are rounded first, so that equal vectors tie whatever the order of additions.
+    ``exclude``: (query_id, item_id) that don't count; they go to the blocks they concern.
+
     corpus, queries: id bigint, v array of one length. A grid of corpus and query blocks, each a task's matrix product;
     neither side is broadcast, and the merge sees about k rows per query and corpus block.
     """
     nc = max(1, -(-corpus.count() // CORPUS_BLOCK))
     nq = max(1, -(-queries.count() // QUERY_BLOCK))
-    c = corpus.select("id", "v", F.lit(False).alias("q"), F.pmod(F.xxhash64("id"), F.lit(nc)).cast("int").alias("cb"))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    none = F.lit(None).cast("bigint").alias("asker")
+    c = corpus.select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"), F.lit(0).alias("kind"), none, block(F.col("id").cast("bigint"), nc).alias("cb"))
     c = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    q = queries.select("id", "v", F.lit(True).alias("q"), F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int").alias("qb"))
+    q = queries.select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v"), F.lit(1).alias("kind"), none, block(F.col("id").cast("bigint"), nq).alias("qb"))
     q = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
-    cols = ["id", "v", "q", "cb", "qb"]
+    cols = ["id", "v", "kind", "asker", "cb", "qb"]
     grid = c.select(cols).unionByName(q.select(cols))
+    if exclude is not None:
+        x = exclude.select(F.col("item_id").cast("bigint").alias("id"), F.lit(None).cast("array<double>").alias("v"), F.lit(2).alias("kind"), F.col("query_id").cast("bigint").alias("asker")).where("id is not null and asker is not null")
+        grid = grid.unionByName(x.withColumn("cb", block(F.col("id"), nc)).withColumn("qb", block(F.col("asker"), nq)).select(cols))
     if nc * nq > 1:
         grid = grid.repartition(min(nc * nq, 4 * shuffle_width(grid)), "cb", "qb")
-    near = grid.groupBy("cb", "qb").applyInArrow(_block_top(k, skip_self), "query_id bigint, item_id bigint, sim double")
+    near = grid.groupBy("cb", "qb").applyInArrow(_block_top(k, skip_self, digits), "query_id bigint, item_id bigint, sim double")
     return top_per_group(near, ["query_id"], [F.desc("sim"), "item_id"], k)
 
 

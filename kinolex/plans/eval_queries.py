@@ -32,9 +32,17 @@ def _loo_ranks(s, d):
     hold = r.where("rating >= 4").select("profile_id", F.col("item_id").alias("held"))
     own = hold.join(two.withColumnRenamed("item_id", "held"), ["profile_id", "held"], "left").select("profile_id", "held", F.when(F.col("best") == F.col("held"), F.col("s2")).otherwise(F.col("s1")).alias("own"))
     cand = two.join(r.select("profile_id", "item_id"), ["profile_id", "item_id"], "left_anti")
-    j = own.join(cand, "profile_id", "left").withColumn("score", F.when(F.col("best") == F.col("held"), F.col("s2")).otherwise(F.col("s1")))
-    ahead = F.count_if((F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("item_id") < F.col("held"))))
-    return j.groupBy("profile_id", "held").agg(F.when(F.first("own").isNotNull(), ahead + 1).alias("rank"))
+    # candidates ahead of a holdout by their best similarity: a running count over both, sorted together
+    both = cand.select("profile_id", F.col("s1").alias("score"), F.col("item_id").alias("id"), F.lit(1).alias("c")).unionByName(
+        own.where("own is not null").select("profile_id", F.col("own").alias("score"), F.col("held").alias("id"), F.lit(0).alias("c"))
+    )
+    order = Window.partitionBy("profile_id").orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = both.withColumn("ahead", F.sum("c").over(order)).where("c = 0").select("profile_id", F.col("id").alias("held"), "ahead")
+    # only candidates whose best anchor is held out have another score
+    before = lambda x: ((F.col(x) > F.col("own")) | ((F.col(x) == F.col("own")) & (F.col("item_id") < F.col("held")))).cast("int")
+    moved = own.join(cand.withColumnRenamed("best", "held"), ["profile_id", "held"]).groupBy("profile_id", "held").agg(F.sum(F.coalesce(before("s2"), F.lit(0)) - F.coalesce(before("s1"), F.lit(0))).alias("moved"))
+    out = own.join(ahead, ["profile_id", "held"], "left").join(moved, ["profile_id", "held"], "left")
+    return out.select("profile_id", "held", F.when(F.col("own").isNotNull(), F.col("ahead") + F.coalesce("moved", F.lit(0)) + 1).alias("rank"))
 
 
 def eval_loo(s, d):

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from kinolex.functions import text as X
 from kinolex.operators.knn import as_vectors, dot, exact_topk, norm, weighted_vector
-from kinolex.operators.rank import queues_of, round_robin
-from kinolex.operators.relational import keep_one, top_per_group
+from kinolex.operators.relational import top_per_group
+from kinolex.operators.skew import split_join
 from kinolex.plans.adapters import ITEMS, PROF, TAGS, VECS, with_
 from kinolex.plans.agg_queries import _TP, _weights, tag_profile
+from kinolex.plans import tools as T
+from kinolex.sources.catalogues import unit_vectors
 from kinolex.sources.tables import items, ratings, tags_long, vec_items
 
 POOL = 100
@@ -26,17 +28,17 @@ def corpus(s, d):
 
 
 def liked(s, d):
-    """Liked items of each profile that have a vector, numbered by rating and id."""
+    """Liked items of each profile that have a vector."""
     r = ratings(s, d).where("rating >= 3.5").join(vec_items(s, d).select("item_id"), "item_id", "left_semi")
-    return top_per_group(r, ["profile_id"], [F.desc("rating"), "item_id"], 1_000_000, "anchor_no").select("profile_id", "anchor_no", F.col("item_id").alias("anchor_id"), "rating")
+    return r.select("profile_id", F.col("item_id").alias("anchor_id"), "rating")
 
 
 def anchors_near(s, d, pool=POOL):
-    """(profile_id, anchor_no, anchor_id, item_id, sim, rk): the pool of each liked item. Each anchor is searched once, whoever likes it."""
+    """(profile_id, anchor_id, item_id, sim, rk): the pool of each liked item. Each anchor is searched once, whoever likes it."""
     l = liked(s, d)
     q = corpus(s, d).join(l.select(F.col("anchor_id").alias("id")).distinct(), "id", "left_semi")
     near = exact_topk(corpus(s, d), q, pool).withColumnRenamed("query_id", "anchor_id")
-    return l.select("profile_id", "anchor_no", "anchor_id").join(near, "anchor_id")
+    return split_join(l.select("profile_id", "anchor_id"), near, ["anchor_id"], ["profile_id"])
 
 
 def unrated(df, s, d):
@@ -54,17 +56,17 @@ def knn_exclude_self(s, d, seeds=FIRST):
 
 
 def knn_taste_vector(s, d):
-    """Twenty unrated items nearest to each profile's taste vector; the search goes deep enough for all it has rated."""
+    """Twenty unrated items nearest to each profile's taste vector; what a profile has rated is masked in the blocks."""
     taste = as_vectors(weighted_vector(_weights(s, d), corpus(s, d)), "profile_id").select(F.col("profile_id").alias("id"), "v")
-    most = ratings(s, d).groupBy("profile_id").count().agg(F.max("count").alias("n")).first().n or 0
-    near = exact_topk(corpus(s, d).select("id", F.transform("v", lambda x: x.cast("double")).alias("v")), taste, 20 + most)
-    near = unrated(near.select(F.col("query_id").alias("profile_id"), "item_id", "sim"), s, d)
-    return top_per_group(near, ["profile_id"], [F.desc("sim"), "item_id"], 20).select("profile_id", "item_id", F.round("sim", 6).alias("sim"), "rk")
+    rated = ratings(s, d).select(F.col("profile_id").alias("query_id"), "item_id")
+    near = exact_topk(corpus(s, d).select("id", F.transform("v", lambda x: x.cast("double")).alias("v")), taste, 20, exclude=rated)
+    return near.select(F.col("query_id").alias("profile_id"), "item_id", F.round("sim", 6).alias("sim"), "rk")
 
 
-def knn_anchor_max(s, d):
-    best = unrated(anchors_near(s, d), s, d).groupBy("profile_id", "item_id").agg(F.max("sim").alias("score"))
-    return top_per_group(best, ["profile_id"], [F.desc("score"), "item_id"], 50).select("profile_id", "item_id", F.round("score", 6).alias("score"), "rk")
+def knn_anchor_max(s, d, floor=5):
+    """Unrated films of every profile by their closest liked film, above a popularity floor."""
+    best = T.candidates(s, d, "film", floor=floor).groupBy("profile_id", "item_id").agg(F.max("sim").alias("score"))
+    return top_per_group(best, ["profile_id"], [F.desc("score"), "item_id"], 50).select("profile_id", "item_id", "score", "rk")
 
 
 def rank_profile_by_query(s, d):
@@ -75,11 +77,14 @@ def rank_profile_by_query(s, d):
     return top_per_group(r, ["profile_id"], [F.desc("sim"), "item_id"], 8).select("profile_id", "item_id", F.round("sim", 3).alias("relevance"), "rk")
 
 
+def _first_book(s, d):
+    """The book of the smallest vec_id, as an example of a query."""
+    return unit_vectors(s, d, "book").agg(F.min_by("item_id", "vec_id").alias("i")).first().i or ""
+
+
 def semantic_search_filtered(s, d):
-    """Pool of 200 around item 7; one item per work before the other filters."""
-    near = exact_topk(corpus(s, d), corpus(s, d).where("id = 7"), 200).withColumn("work", F.col("item_id") % 50)
-    one = keep_one(near, ["work"], [F.desc("sim"), "item_id"]).where((F.col("item_id") % 7).between(1, 5))
-    return top_per_group(one, ["query_id"], [F.desc("sim"), "item_id"], 15).select("item_id", F.round("sim", 6).alias("sim"), "rk")
+    """Profile 1's search for books like one: pool of 200, known authors and rated left out, one per work, from 1960 on."""
+    return T.search_catalog_semantic(s, d, "book", 1, _first_book(s, d), floor=10, years=(1960, 2030))
 
 
 def intra_list_diversity(s, d, seeds=FIRST):
@@ -119,9 +124,8 @@ def tag_rerank(s, d):
 
 
 def tag_search_pos_neg(s, d):
-    sign = F.when(F.col("tag").isin("d1", "d2"), F.col("score")).when(F.col("tag") == "d3", -F.col("score")).otherwise(0.0)
-    t = tags_long(s, d).groupBy("item_id").agg(F.round(F.sum(sign), 6).alias("tag_score"))
-    return t.orderBy(F.desc("tag_score"), "item_id").limit(15).withColumn("one", F.lit(1)).transform(lambda x: top_per_group(x, ["one"], [F.desc("tag_score"), "item_id"], 15)).drop("one")
+    """Profile 1's search for films that are comedies or horror but no romance; one wanted tag is unknown."""
+    return T.search_by_tags(s, d, "film", 1, ["Comedy", "Horror", "Unheard"], ["Romance"], floor=3, years=(1950, None))
 
 
 def title_token_overlap(s, d):
@@ -135,41 +139,30 @@ def norm_check(s, d):
     return corpus(s, d).select(norm("v").alias("n")).agg(F.count("*").alias("n"), F.round(F.min("n"), 4).alias("min_norm"), F.round(F.max("n"), 4).alias("max_norm"))
 
 
-def _robin(near, n=20):
-    return round_robin(queues_of(near, [-F.col("sim"), F.col("item_id")]), 2, n)
-
-
 def round_robin_books(s, d):
-    return _robin(unrated(anchors_near(s, d), s, d))
+    """Picks of every profile: known authors left out, one book per work."""
+    return T.recommend(s, d, "book", floor=10, one_per_work=True)
 
 
 def round_robin_films(s, d):
-    """As for books, with candidates of the anchor's own genre set back by 0.15."""
-    g = vec_items(s, d).select("item_id", "genre")
-    near = unrated(anchors_near(s, d), s, d).join(g, "item_id").join(g.toDF("anchor_id", "anchor_genre"), "anchor_id")
-    near = near.withColumn("sim", F.col("sim") - F.when(F.col("genre") == F.col("anchor_genre"), 0.15).otherwise(0.0))
-    return _robin(near)
+    """Known directors left out, genres with a weight of 0.3, titles like the anchor's set back by 0.15."""
+    return T.recommend(s, d, "film", floor=5, penalty=0.15, genre_weight=0.3)
 
 
 def round_robin_tv(s, d):
-    """As for books, without candidates of a maker whose items the profile has rated."""
-    maker = (F.col("item_id") % 40).alias("maker")
-    known = ratings(s, d).select("profile_id", maker).distinct().where("maker < 12")
-    return _robin(unrated(anchors_near(s, d), s, d).withColumn("maker", maker).join(known, ["profile_id", "maker"], "left_anti"))
+    """Known creators left out, titles like the anchor's set back by 0.15."""
+    return T.recommend(s, d, "series", floor=2, penalty=0.15)
 
 
-def _anchored(s, d, ids, pool):
-    q = corpus(s, d).where(F.col("id").isin(*ids))
-    near = exact_topk(corpus(s, d), q, pool).where(~F.col("item_id").isin(*ids)).select(F.lit(0).alias("profile_id"), F.col("query_id").alias("anchor_no"), F.col("query_id").alias("anchor_id"), "item_id", "sim")
-    return _robin(near, 15).select("pick_no", "item_id", "anchor_id")
+BOOK_TITLES, FILM_TITLES = ["saga", "amber", "no such title"], ["flight", "treaty"]
 
 
 def anchor_recs_books(s, d):
-    return _anchored(s, d, (3, 30, 60), 150)
+    return T.get_recommendations(s, d, "book", 3, BOOK_TITLES, years=(1950, 2030))
 
 
 def anchor_recs_films(s, d):
-    return _anchored(s, d, (5, 55), 200)
+    return T.get_recommendations(s, d, "film", 3, FILM_TITLES, years=(1950, 2030), language="en")
 
 
 def diverse_greedy(s, d, n=10):
@@ -196,8 +189,9 @@ def signed_profile_rank(s, d, cross=0.35, neg=1.0, n=20):
     near = exact_topk(corpus(s, d), q, POOL)
     j = r.select("profile_id", F.col("item_id").alias("query_id"), "w").join(near, "query_id")
     j = unrated(j.withColumn("pull", F.col("w") * F.col("sim") / 2), s, d)
-    up = F.array_sort(F.collect_list(F.when(F.col("w") > 0, F.struct((-F.col("pull")).alias("less"), "query_id"))))
-    by = j.groupBy("profile_id", "item_id").agg(up.alias("ups"), F.max(F.when(F.col("w") < 0, -F.col("pull"))).alias("down")).where(F.size("ups") > 0)
+    up = top_per_group(j.where("w > 0"), ["profile_id", "item_id"], [F.desc("pull"), "query_id"], 2, "at").groupBy("profile_id", "item_id")
+    up = up.agg(F.array_sort(F.collect_list(F.struct((-F.col("pull")).alias("less"), "query_id"))).alias("ups"))
+    by = up.join(j.where("w < 0").groupBy("profile_id", "item_id").agg(F.max(-F.col("pull")).alias("down")), ["profile_id", "item_id"], "left")
     score = -F.col("ups")[0]["less"] - cross * F.coalesce(F.get("ups", F.lit(1))["less"], F.lit(0.0)) - neg * F.coalesce(F.greatest("down", F.lit(0.0)), F.lit(0.0))
     out = by.select("profile_id", "item_id", F.round(score, 6).alias("score"), F.col("ups")[0]["query_id"].alias("because_of"), F.get("ups", F.lit(1))["query_id"].alias("also_because"))
     return top_per_group(out, ["profile_id"], [F.desc("score"), "item_id"], n).drop("rk")
@@ -221,31 +215,18 @@ QUERIES = {
 }
 QUERIES |= every_50(knn_topk, knn_exclude_self, intra_list_diversity, tag_cosine_topk)
 
-_LIKED = "liked0 AS (SELECT profile_id, item_id AS anchor_id, rating, row_number() OVER (PARTITION BY profile_id ORDER BY rating DESC, item_id) AS anchor_no FROM prof WHERE rating >= 3.5 AND item_id IN (SELECT item_id FROM vecs))"
-_NEAR = """near AS (SELECT * FROM (SELECT a.item_id AS anchor_id, b.item_id, list_dot_product(a.v, b.v) AS sim, row_number() OVER (PARTITION BY a.item_id ORDER BY list_dot_product(a.v, b.v) DESC, b.item_id) AS rk
+_LIKED = "liked0 AS (SELECT profile_id, item_id AS anchor_id, rating FROM prof WHERE rating >= 3.5 AND item_id IN (SELECT item_id FROM vecs))"
+_NEAR = """near AS MATERIALIZED (SELECT * FROM (SELECT a.item_id AS anchor_id, b.item_id, list_dot_product(a.v, b.v) AS sim, row_number() OVER (PARTITION BY a.item_id ORDER BY list_dot_product(a.v, b.v) DESC, b.item_id) AS rk
   FROM vecs a, vecs b WHERE {0}) WHERE rk <= {1})"""
-_CAND = "cand AS (SELECT profile_id, anchor_no, anchor_id, item_id, sim FROM liked0 JOIN near USING (anchor_id) WHERE NOT EXISTS (SELECT 1 FROM prof r WHERE r.profile_id = liked0.profile_id AND r.item_id = near.item_id))"
+_CAND = "cand AS MATERIALIZED (SELECT profile_id, anchor_id, item_id, sim FROM liked0 JOIN near USING (anchor_id) WHERE NOT EXISTS (SELECT 1 FROM prof r WHERE r.profile_id = liked0.profile_id AND r.item_id = near.item_id))"
 _ANCH = with_(PROF, VECS, _LIKED, _NEAR.format("a.item_id IN (SELECT anchor_id FROM liked0)", POOL), _CAND)
-_ROBIN = """,
-q AS (SELECT profile_id, anchor_no, anchor_id, list(item_id ORDER BY sim DESC, item_id) AS items FROM {src} GROUP BY ALL),
-qs AS (SELECT profile_id, list(struct_pack(a := anchor_id, items := items) ORDER BY anchor_no) AS qs FROM q GROUP BY 1),
-fold(profile_id, slot, st, an) AS (
-  SELECT profile_id, 0, CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM qs
-  UNION ALL
-  SELECT profile_id, slot + 1, CASE WHEN f IS NULL THEN st ELSE list_append(st, f) END, CASE WHEN f IS NULL THEN an ELSE list_append(an, a) END FROM (
-    SELECT fold.profile_id, slot, st, an, qs[(slot // 2) % len(qs) + 1].a AS a, list_filter(qs[(slot // 2) % len(qs) + 1].items, lambda x: NOT list_contains(st, x))[1] AS f
-    FROM fold JOIN qs ON qs.profile_id = fold.profile_id WHERE len(st) < {n} AND slot < len(qs) * 2 * {n}))
-SELECT profile_id, CAST(generate_subscripts(st, 1) AS INTEGER) AS pick_no, unnest(st) AS item_id, unnest(an) AS anchor_id FROM (SELECT profile_id, st, an FROM fold QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY slot DESC) = 1)"""
 _TASTE = """taste AS (SELECT profile_id, list(value ORDER BY pos) AS v FROM (
   SELECT profile_id, pos, sum((rating - 3) * x) / sum(abs(rating - 3)) AS value FROM (
     SELECT profile_id, rating, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS pos FROM prof JOIN embeddings ON vec_id = item_id WHERE rating <> 3) GROUP BY 1, 2) GROUP BY 1)"""
 
 
-def _anchored_sql(ids, pool):
-    near = _NEAR.format(f"a.item_id IN {ids}", pool)
-    src = f"c AS (SELECT 0 AS profile_id, anchor_id AS anchor_no, anchor_id, item_id, sim FROM near WHERE item_id NOT IN {ids})"
-    body = with_(VECS, near, src).rstrip() + _ROBIN.format(src="c", n=15)
-    return body.replace("SELECT profile_id, CAST(generate_subscripts(st, 1)", "SELECT CAST(generate_subscripts(st, 1)")
+def _film_sql(**k):
+    return T.sql_with("film", T.SQL_LIKED, T.sql_candidates(100, 5, **k))
 
 
 SQL = {
@@ -253,10 +234,11 @@ SQL = {
     "knn_exclude_self": with_(VECS, _NEAR.format("a.item_id < 20 AND a.item_id <> b.item_id", 10)) + "SELECT anchor_id, item_id, round(sim, 6) AS sim, CAST(rk AS INTEGER) AS rk FROM near",
     "knn_taste_vector": with_(PROF, VECS, _TASTE) + """SELECT profile_id, item_id, round(sim, 6) AS sim, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY sim DESC, item_id) AS INTEGER) AS rk
 FROM (SELECT profile_id, item_id, list_dot_product(t.v, c.v) / sqrt(list_dot_product(t.v, t.v)) AS sim FROM taste t, vecs c WHERE NOT EXISTS (SELECT 1 FROM prof r WHERE r.profile_id = t.profile_id AND r.item_id = c.item_id)) QUALIFY rk <= 20""",
-    "knn_anchor_max": _ANCH + "SELECT profile_id, item_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, item_id) AS INTEGER) AS rk FROM (SELECT profile_id, item_id, max(sim) AS score FROM cand GROUP BY 1, 2) QUALIFY rk <= 50",
+    "knn_anchor_max": _film_sql(known_makers=True) + "SELECT profile_id, item_id, score, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, item_id) AS INTEGER) AS rk FROM (SELECT profile_id, item_id, max(sim) AS score FROM cand GROUP BY 1, 2) QUALIFY rk <= 50",
     "rank_profile_by_query": with_(PROF, VECS) + "SELECT profile_id, item_id, round(sim, 3) AS relevance, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY sim DESC, item_id) AS INTEGER) AS rk FROM (SELECT profile_id, c.item_id, list_dot_product(c.v, q.v) AS sim FROM prof JOIN vecs c USING (item_id), vecs q WHERE q.item_id = 200) QUALIFY rk <= 8",
-    "semantic_search_filtered": with_(VECS, _NEAR.format("a.item_id = 7", 200)) + """SELECT item_id, round(sim, 6) AS sim, CAST(row_number() OVER (ORDER BY sim DESC, item_id) AS INTEGER) AS rk
-FROM (SELECT item_id, sim FROM near QUALIFY row_number() OVER (PARTITION BY item_id % 50 ORDER BY sim DESC, item_id) = 1) WHERE item_id % 7 BETWEEN 1 AND 5 QUALIFY rk <= 15""",
+    "semantic_search_filtered": T.sql_with("book", "liked AS (SELECT CAST(1 AS BIGINT) AS profile_id, CAST(0 AS DOUBLE) AS anchor_order, arg_min(item_id, vec_id) AS anchor_id FROM vec)", T.sql_candidates(200, 10, False))
+    + """SELECT item_id, sim, CAST(row_number() OVER (ORDER BY sim DESC, item_id) AS INTEGER) AS rk FROM (SELECT item_id, sim FROM cand QUALIFY row_number() OVER (PARTITION BY coalesce(work, 'item ' || item_id) ORDER BY sim DESC, item_id) = 1) JOIN cat USING (item_id)
+WHERE year BETWEEN 1960 AND 2030 QUALIFY rk <= 15""",
     "intra_list_diversity": with_(VECS, _NEAR.format("a.item_id < 20 AND a.item_id <> b.item_id", 10)) + "SELECT x.anchor_id, round(1 - avg(list_dot_product(a.v, b.v)), 6) AS ild FROM near x JOIN near y ON x.anchor_id = y.anchor_id AND x.item_id < y.item_id JOIN vecs a ON a.item_id = x.item_id JOIN vecs b ON b.item_id = y.item_id GROUP BY 1",
     "tag_cosine_topk": with_(TAGS, "n AS (SELECT item_id, sqrt(sum(score * score)) AS n FROM tags GROUP BY 1)") + """SELECT item_id, other_id, round(cos, 6) AS cos, CAST(row_number() OVER (PARTITION BY item_id ORDER BY cos DESC, other_id) AS INTEGER) AS rk
 FROM (SELECT a.item_id, b.item_id AS other_id, round(sum(a.score / na.n * (b.score / nb.n)), 9) AS cos FROM tags a JOIN tags b USING (tag) JOIN n na ON na.item_id = a.item_id JOIN n nb ON nb.item_id = b.item_id WHERE a.item_id < 20 AND a.item_id <> b.item_id GROUP BY 1, 2) QUALIFY rk <= 10""",
@@ -265,14 +247,18 @@ pn AS (SELECT profile_id, sqrt(sum(weight * weight)) AS pn FROM tp GROUP BY 1),
 best AS (SELECT profile_id, item_id, max(sim) AS sim FROM cand GROUP BY 1, 2),
 sh AS (SELECT profile_id, item_id, sum(score * weight) AS c FROM best JOIN tags USING (item_id) JOIN tp USING (profile_id, tag) GROUP BY 1, 2)
 SELECT profile_id, item_id, round(CASE WHEN pn > 0 AND tn > 0 THEN 0.7 * sim + 0.3 * (coalesce(c, 0) / (pn * tn)) ELSE sim END, 6) AS adj_sim FROM best LEFT JOIN sh USING (profile_id, item_id) LEFT JOIN pn USING (profile_id) LEFT JOIN tn USING (item_id)""",
-    "tag_search_pos_neg": with_(TAGS) + "SELECT item_id, tag_score, CAST(row_number() OVER (ORDER BY tag_score DESC, item_id) AS INTEGER) AS rk FROM (SELECT item_id, round(sum(CASE WHEN tag IN ('d1', 'd2') THEN score WHEN tag = 'd3' THEN -score ELSE 0 END), 6) AS tag_score FROM tags GROUP BY 1) QUALIFY rk <= 15",
+    "tag_search_pos_neg": T.sql_with("film", "asked AS (SELECT unnest(['comedy', 'horror', 'unheard', 'romance']) AS tag)", "known AS (SELECT DISTINCT unnest(makers) AS maker FROM prof JOIN cat USING (item_id) WHERE profile_id = 1)")
+    + """SELECT item_id, CAST(len(list_filter(genres, lambda g: g IN ('comedy', 'horror', 'unheard'))) - len(list_filter(genres, lambda g: g = 'romance')) AS INTEGER) AS tag_score, array_to_string(genres[1:5], ', ') AS tags,
+  (SELECT string_agg(tag, ', ' ORDER BY tag) FROM asked WHERE tag NOT IN (SELECT unnest(genres) FROM cat)) AS unknown
+FROM cat WHERE len(genres) > 0 AND popularity >= 3 AND year >= 1950 AND item_id NOT IN (SELECT item_id FROM prof WHERE profile_id = 1) AND NOT EXISTS (SELECT 1 FROM known WHERE list_contains(makers, maker))
+ORDER BY tag_score DESC, popularity DESC, item_id LIMIT 15""",
     "title_token_overlap": with_(ITEMS, f"t AS (SELECT DISTINCT maker, title, unnest(list_filter(string_split_regex(regexp_replace(regexp_replace(lower(title), '[:-]', ' ', 'g'), '[^a-z0-9 ]', '', 'g'), ' +'), lambda w: len(w) >= 3 AND w NOT IN {STOP})) AS tok FROM items)") + "SELECT a.maker, a.title AS a, b.title AS b, count(*) AS overlap FROM t a JOIN t b ON a.maker = b.maker AND a.tok = b.tok AND a.title < b.title GROUP BY ALL",
     "norm_check": with_(VECS) + "SELECT count(*) AS n, round(min(sqrt(list_dot_product(v, v))), 4) AS min_norm, round(max(sqrt(list_dot_product(v, v))), 4) AS max_norm FROM vecs",
-    "round_robin_books": _ANCH.rstrip() + _ROBIN.format(src="cand", n=20),
-    "round_robin_films": _ANCH.rstrip() + ", c2 AS (SELECT profile_id, anchor_no, anchor_id, cand.item_id, sim - CASE WHEN g.genre = h.genre THEN 0.15 ELSE 0 END AS sim FROM cand JOIN vecs g ON g.item_id = cand.item_id JOIN vecs h ON h.item_id = anchor_id)" + _ROBIN.format(src="c2", n=20),
-    "round_robin_tv": _ANCH.rstrip() + ", c2 AS (SELECT * FROM cand WHERE NOT EXISTS (SELECT 1 FROM prof r WHERE r.profile_id = cand.profile_id AND r.item_id % 40 = cand.item_id % 40 AND r.item_id % 40 < 12))" + _ROBIN.format(src="c2", n=20),
-    "anchor_recs_books": _anchored_sql((3, 30, 60), 150),
-    "anchor_recs_films": _anchored_sql((5, 55), 200),
+    "round_robin_books": T.sql_with("book", T.SQL_LIKED, T.sql_candidates(100, 10, False), T.sql_scored(), T.sql_robin(20, one_per_work=True)),
+    "round_robin_films": T.sql_with("film", T.SQL_LIKED, T.sql_candidates(100, 5, False), T.sql_scored(0.15, 0.3), T.sql_robin(20)),
+    "round_robin_tv": T.sql_with("series", T.SQL_LIKED, T.sql_candidates(100, 2, False), T.sql_scored(0.15), T.sql_robin(20)),
+    "anchor_recs_books": T.sql_with("book", T.sql_resolved(3, BOOK_TITLES, False), T.sql_candidates(150, 0, True, " AND year BETWEEN 1950 AND 2030"), T.sql_scored(), T.sql_robin(15, one_per_work=True)),
+    "anchor_recs_films": T.sql_with("film", T.sql_resolved(3, FILM_TITLES, True), T.sql_candidates(200, 0, True, " AND year BETWEEN 1950 AND 2030 AND lang = 'en'"), T.sql_scored(), T.sql_robin(15)),
     "diverse_greedy": with_(VECS, _NEAR.format("a.item_id = 0", 100)).rstrip() + """, pool AS (SELECT item_id, v, rk FROM near JOIN vecs USING (item_id)),
 pick(pick_no, ids) AS (
   SELECT 1, [(SELECT item_id FROM pool ORDER BY rk LIMIT 1)]

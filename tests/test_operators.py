@@ -46,7 +46,7 @@ def test_weighted_vector_null_profile(spark):
     assert set(got) == {1} and np.allclose(got[1], np.array([2, -1]) / np.sqrt(5))
 
 
-def simulate(queues, per, n):
+def simulate(queues, per, n, work):
     picked, seen, at = [], set(), [0] * len(queues)
     while len(picked) < n:
         before = len(picked)
@@ -55,8 +55,8 @@ def simulate(queues, per, n):
             while took < per and at[a] < len(q) and len(picked) < n:
                 item = q[at[a]]
                 at[a] += 1
-                if item not in seen:
-                    seen.add(item)
+                if item not in seen and (work.get(item) is None or ("w", work[item]) not in seen):
+                    seen |= {item, ("w", work.get(item))}
                     picked.append((item, a))
                     took += 1
         if len(picked) == before:
@@ -64,16 +64,21 @@ def simulate(queues, per, n):
     return picked
 
 
-def test_round_robin_equals_simulation(spark):
+@pytest.mark.parametrize("first", [200, 2])
+def test_round_robin_equals_simulation(spark, first):
+    """Also where profiles need more anchors than the first fold looks at, and with works."""
     rng = random.Random(4)
-    cases = {p: [rng.sample(range(12), rng.randint(0, 9)) for _ in range(rng.randint(1, 5))] for p in range(40)}
-    rows = [(p, a, a, q) for p, qs in cases.items() for a, q in enumerate(qs)]
-    df = spark.createDataFrame(rows, "profile_id int, anchor_no int, anchor_id bigint, items array<bigint>")
-    got = {}
-    for r in round_robin(df, 2, 7).orderBy("profile_id", "pick_no").collect():
-        got.setdefault(r.profile_id, []).append((r.item_id, r.anchor_id))
-    for p, qs in cases.items():
-        assert got.get(p, []) == simulate(qs, 2, 7), qs
+    cases = {p: [rng.sample(range(12), rng.randint(0, 9)) for _ in range(rng.randint(1, 9))] for p in range(40)}
+    work = {i: None if i % 3 else str(i // 6) for i in range(12)}
+    for works in (False, True):
+        rows = [(p, float(-a), a, i, float(-k), work[i] if works else None) for p, qs in cases.items() for a, q in enumerate(qs) for k, i in enumerate(q)]
+        df = spark.createDataFrame(rows, "profile_id int, anchor_order double, anchor_id bigint, item_id bigint, score double, work string")
+        got = {}
+        for r in round_robin(df, 2, 7, first).orderBy("profile_id", "pick_no").collect():
+            got.setdefault(r.profile_id, []).append((r.item_id, r.anchor_id))
+        for p, qs in cases.items():
+            assert got.get(p, []) == simulate(qs, 2, 7, work if works else {}), qs
+    assert round_robin(df.limit(0), 2, 7).count() == 0
 
 
 def test_upserts(spark):
