@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from kinolex.functions import text as X
 from kinolex.operators.relational import top_per_group
-from kinolex.operators.search import contains, popular, ratios, tiered
-from kinolex.plans.adapters import ITEMS, PROF, with_
-from kinolex.session import spread
+from kinolex.operators.search import contains, few, matched, popular, tiered
+from kinolex.plans.adapters import ITEMS, with_
+from kinolex.plans import tools as T
 from kinolex.sources.files import hash_embed
-from kinolex.sources.tables import items, ratings, table
+from kinolex.sources.catalogues import catalogue, unit_vectors
+from kinolex.sources.tables import items, table
 
-SEARCHES = ("blue", "ring small", "widget", "x", "gold bolt", "red widget")
+SEARCHES = ("the", "treaty ironclad", "flight", "x", "rose", "Bridrûl", "war")
 # Vocabulary of tags and their aliases.
 VOCABULARY = ("slow-burn", "dark", "cozy", "space-opera")
 ALIASES = {"slow": "slow-burn", "cosy": "cozy"}
@@ -29,66 +30,73 @@ def topn_popular_substring(s, d):
 
 def topn_with_overfetch(s, d):
     """Filtered before the limit, so the result is complete."""
-    left = items(s, d).join(ratings(s, d).where("profile_id = 1"), "item_id", "left_anti")
-    return popular(left, contains(F.col("maker"), "brand#1") & F.col("year").between(1980, 2010), 15, "popularity", "item_id").select("item_id", "title", "popularity")
+    return T.search_catalog(s, d, "book", 1, "saga", years=(1980, 2010), floor=5)
 
 
 def studio_search(s, d):
-    m = table(s, d, "movies").select("id", "title", "studio", F.coalesce("vote_count", F.lit(0)).alias("votes"), "release_year").groupBy("id").agg(F.max_by(F.struct("title", "studio", "votes", "release_year"), F.struct("votes", "title")).alias("m")).select("id", "m.*")
-    left = m.join(table(s, d, "ratings").where("user_id = 1").select(F.col("movie_id").alias("id")), "id", "left_anti")
-    return popular(left, contains(F.col("studio"), "pictures") & (F.col("release_year") >= 1990), 15, "votes", "id").select("id", "votes")
+    return T.search_by_studio(s, d, "film", 1, "pictures", years=(1990, None))
 
 
 def people_search(s, d):
-    """Films directed by, or with, somebody whose name contains the query; the role is told."""
-    who = "an"
-    m = table(s, d, "movies").select("id", F.coalesce("vote_count", F.lit(0)).alias("votes"), contains(F.col("director"), who).alias("directs"), F.coalesce(F.exists("cast_names", lambda c: contains(c, who)), F.lit(False)).alias("plays"))
-    m = m.groupBy("id").agg(F.max("votes").alias("votes"), F.bool_or("directs").alias("directs"), F.bool_or("plays").alias("plays"))
-    role = F.when(F.col("directs") & F.col("plays"), "both").when(F.col("directs"), "director").otherwise("actor")
-    return popular(m, F.col("directs") | F.col("plays"), 25, "votes", "id").select("id", "votes", role.alias("role"))
+    """Films directed by, or with, somebody whose name contains the query; the role is told, films rated by profile 1 are left out."""
+    return T.search_by_people(s, d, "film", 1, "an")
+
+
+def people_search_directors(s, d):
+    return T.search_by_people(s, d, "film", 1, "an", role="director", floor=5)
+
+
+def search_user_ratings(s, d):
+    """What profile 1 has rated from 3 on, best first."""
+    return T.search_user_ratings(s, d, "film", 1, "the", least=3.0)
+
+
+def search_user_ratings_like(s, d):
+    """What profile 1 has rated, by similarity to the first film with a vector."""
+    like = unit_vectors(s, d, "film").agg(F.min_by("item_id", "vec_id").alias("i")).first().i or ""
+    return T.search_user_ratings(s, d, "film", 1, like=like, limit=10)
+
+
+def get_recommendations(s, d):
+    """Picks for profile 1 from all it likes."""
+    return T.get_recommendations(s, d, "film", 1, floor=3)
 
 
 def find_seed_row(s, d):
     """For each wanted title the most popular item of exactly that title, else one that contains it."""
-    want = s.createDataFrame([("Blue Bolt",), ("small",), ("nowhere",)], "query string").select("query", X.spaced(F.col("query")).alias("q"))
-    t = items(s, d).withColumn("t", X.spaced(F.col("title")))
-    hit = t.join(F.broadcast(want), F.contains(F.col("t"), F.col("q")))
+    want = s.createDataFrame([("Blue Bolt",), ("small",), ("nowhere",)], "query string").select("query", X.search_form(F.col("query")).alias("q"))
+    t = items(s, d).withColumn("t", X.search_form(F.col("title")))
+    hit = t.join(few(want), F.contains(F.col("t"), F.col("q")))
     best = F.max_by(F.struct("item_id", "title"), F.struct((F.col("t") == F.col("q")).cast("int"), "popularity", -F.col("item_id"))).alias("b")
     return hit.groupBy("query").agg(best).select("query", "b.item_id", "b.title")
 
 
 def search_tiered(s, d):
+    """Titles of films; "rose" finds "Rosé", "half moon" finds "Half-Moon"."""
     q = s.createDataFrame([(x,) for x in SEARCHES], "query string")
-    return tiered(items(s, d), q, "item_id", "title", "popularity", 10)
+    return tiered(catalogue(s, d, "film"), q, "item_id", "title", "popularity", 10)
 
 
 def search_fuzzy(s, d):
-    q = s.createDataFrame([("blu bollt",), ("smal rinng",)], "query string")
-    return tiered(items(s, d), q, "item_id", "title", "popularity", 10, fuzzy_pool=8000)
+    q = s.createDataFrame([("the gildd railwy",), ("ledgr and the ship",)], "query string")
+    return tiered(catalogue(s, d, "film"), q, "item_id", "title", "popularity", 10, fuzzy=True)
 
 
-def join_fuzzy_match(s, d):
-    """Wanted titles to distinct titles of the catalogue by similarity, at least 0.6; strict maximum, smaller title first.
+WANTED = (("The Upright Fabel", "T. Hiwis"), ("carnival of pifuwage", None), ("A Memoir Stuhehufa", "Defert Guwum"), ("Nothing Like This At All", None))
 
-    The handful of wanted titles is compared with every distinct title.
-    """
-    want = s.createDataFrame([("blue bollt",), ("red wigdet",), ("smal ring",)], "query string")
-    return best_titles(want, items(s, d)).select("query", "item_id", F.round("score", 6).alias("score"))
 
-
-def best_titles(want, catalogue):
-    """(query, item_id, t, score, rk): the most similar distinct title of each query, from 0.6 on."""
-    titles = catalogue.groupBy("title").agg(F.min("item_id").alias("item_id")).select("item_id", X.spaced(F.col("title")).alias("t"))
-    near = ratios(spread(titles).join(F.broadcast(want.withColumn("q", X.spaced(F.col("query"))))), "q", "t").where("score >= 0.6")
-    return top_per_group(near.drop("q"), ["query"], [F.desc("score"), "t", "item_id"], 1)
+def join_fuzzy_match(s, d):
+    """Wanted titles and authors to the books they are most like."""
+    want = s.createDataFrame(list(WANTED), "query string, by string")
+    return matched(want, table(s, d, "books_v1"), "book_id", "title", "primary_author")
 
 
 def targeted_fetch(s, d):
     """Wanted titles in the second catalogue, exact before contained, latest release first; books of the first catalogue left out."""
-    h = table(s, d, "hardcover_recent").select("id", "title", "release_date").distinct().withColumn("t", X.spaced(F.coalesce("title", F.lit(""))))
+    h = table(s, d, "hardcover_recent").select("id", "title", "release_date").distinct().withColumn("t", X.search_form(F.coalesce("title", F.lit(""))))
     want = s.createDataFrame([("rising",), ("saga",), ("a history",)], "query string")
-    known = table(s, d, "books_v1").select(X.spaced(F.coalesce("title", F.lit(""))).alias("t")).distinct()
-    hit = h.join(known, "t", "left_anti").join(F.broadcast(want), F.contains(F.col("t"), F.col("query")))
+    known = table(s, d, "books_v1").select(X.search_form(F.coalesce("title", F.lit(""))).alias("t")).distinct()
+    hit = h.join(known, "t", "left_anti").join(few(want), F.contains(F.col("t"), F.col("query")))
     best = F.max_by("id", F.struct((F.col("t") == F.col("query")).cast("int"), F.coalesce("release_date", F.lit("")), "id")).alias("id")
     return hit.groupBy("query").agg(best)
 
@@ -157,12 +165,16 @@ def embed_text_encode(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        topn_popular_substring, topn_with_overfetch, studio_search, people_search, find_seed_row, search_tiered, search_fuzzy, join_fuzzy_match, targeted_fetch, tag_line_parse,
+        topn_popular_substring, topn_with_overfetch, studio_search, people_search, people_search_directors, search_user_ratings, search_user_ratings_like, get_recommendations, find_seed_row, search_tiered, search_fuzzy, join_fuzzy_match, targeted_fetch, tag_line_parse,
         grounding_check, parse_profile_json, embed_text_build, string_norm_key, string_norm_spaced, string_norm_words, embed_text_encode, scan_parquet, scan_jsonl,
     )
 }
 
 _SP = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
+_SF = X.SQL_SEARCH_FORM
+_UNRATED = "mine AS (SELECT item_id FROM prof WHERE profile_id = 1)"
+_PEOPLE = T.sql_with("film", _UNRATED, "m AS (SELECT *, len(list_filter(makers, lambda x: contains(x, 'an'))) > 0 AS d, len(list_filter(people, lambda x: contains(lower(coalesce(x, '')), 'an'))) > 0 AS p FROM cat WHERE item_id NOT IN (SELECT item_id FROM mine))")
+_PEOPLE += "SELECT item_id, popularity, CASE WHEN d AND p THEN 'both' WHEN d THEN 'director' ELSE 'actor' END AS role FROM m "
 _CL = "(CASE WHEN lower(trim(coalesce({0}, ''))) = 'nan' THEN '' ELSE trim(coalesce({0}, '')) END)"
 _LIST = "list_filter(list_transform(string_split(" + _CL + ", ','), lambda x: trim(x)), lambda x: x <> '')"
 
@@ -173,19 +185,21 @@ def _values(rows):
 
 SQL = {
     "topn_popular_substring": with_(ITEMS) + "SELECT item_id, title, popularity FROM items WHERE contains(lower(title), 'widget') ORDER BY popularity DESC, item_id LIMIT 10",
-    "topn_with_overfetch": with_(ITEMS, PROF) + "SELECT item_id, title, popularity FROM items WHERE contains(lower(maker), 'brand#1') AND year BETWEEN 1980 AND 2010 AND item_id NOT IN (SELECT item_id FROM prof WHERE profile_id = 1) ORDER BY popularity DESC, item_id LIMIT 15",
-    "studio_search": """WITH m AS (SELECT id, title, studio, coalesce(vote_count, 0) AS votes, release_year FROM movies QUALIFY row_number() OVER (PARTITION BY id ORDER BY coalesce(vote_count, 0) DESC, title DESC) = 1)
-SELECT id, votes FROM m WHERE contains(lower(coalesce(studio, '')), 'pictures') AND release_year >= 1990 AND id NOT IN (SELECT movie_id FROM ratings WHERE user_id = 1 AND movie_id IS NOT NULL) ORDER BY votes DESC, id LIMIT 15""",
-    "people_search": """SELECT id, votes, CASE WHEN d AND p THEN 'both' WHEN d THEN 'director' ELSE 'actor' END AS role FROM (
-  SELECT id, max(coalesce(vote_count, 0)) AS votes, bool_or(contains(lower(coalesce(director, '')), 'an')) AS d, bool_or(coalesce(len(list_filter(cast_names, lambda c: contains(lower(coalesce(c, '')), 'an'))) > 0, false)) AS p FROM movies GROUP BY 1)
-WHERE d OR p ORDER BY votes DESC, id LIMIT 25""",
-    "find_seed_row": with_(ITEMS, "w(query) AS (VALUES ('Blue Bolt'), ('small'), ('nowhere'))") + f"SELECT query, item_id, title FROM items JOIN w ON contains({_SP.format('title')}, {_SP.format('query')}) QUALIFY row_number() OVER (PARTITION BY query ORDER BY CASE WHEN {_SP.format('title')} = {_SP.format('query')} THEN 0 ELSE 1 END, popularity DESC, item_id) = 1",
-    "search_tiered": with_(ITEMS, f"w(query) AS (VALUES {_values([(x,) for x in SEARCHES])})") + f"""SELECT query, tier, item_id, CAST(row_number() OVER (PARTITION BY query ORDER BY popularity DESC, item_id) AS INTEGER) AS rk FROM (
+    "topn_with_overfetch": T.sql_with("book", _UNRATED) + "SELECT item_id, popularity FROM cat WHERE (contains(lower(title), 'saga') OR len(list_filter(makers, lambda m: contains(m, 'saga'))) > 0) AND year BETWEEN 1980 AND 2010 AND popularity >= 5 AND item_id NOT IN (SELECT item_id FROM mine) ORDER BY popularity DESC, item_id LIMIT 15",
+    "studio_search": T.sql_with("film", _UNRATED) + "SELECT item_id, popularity FROM cat WHERE contains(lower(studio), 'pictures') AND year >= 1990 AND item_id NOT IN (SELECT item_id FROM mine) ORDER BY popularity DESC, item_id LIMIT 15",
+    "people_search": _PEOPLE + "WHERE d OR p ORDER BY popularity DESC, item_id LIMIT 25",
+    "people_search_directors": _PEOPLE + "WHERE d AND popularity >= 5 ORDER BY popularity DESC, item_id LIMIT 25",
+    "search_user_ratings": T.sql_with("film", _UNRATED) + "SELECT item_id, title, year, rating, rating AS rank_by FROM prof JOIN cat USING (item_id) WHERE profile_id = 1 AND rating BETWEEN 3 AND 5 AND contains(lower(title), 'the') ORDER BY rating DESC, item_id LIMIT 20",
+    "search_user_ratings_like": T.sql_with("film", "seed AS (SELECT arg_min(v, vec_id) AS q FROM vec)") + """SELECT item_id, title, year, rating, round(list_dot_product(v, q), 9) AS rank_by FROM prof JOIN cat USING (item_id) JOIN vec USING (item_id), seed
+WHERE profile_id = 1 AND rating BETWEEN 0.5 AND 5 ORDER BY rank_by DESC, rating DESC, item_id LIMIT 10""",
+    "get_recommendations": T.sql_with("film", T.SQL_LIKED.replace("WHERE", "WHERE profile_id = 1 AND"), T.sql_candidates(200, 3, True), T.sql_scored(), T.sql_robin(15)),
+    "find_seed_row": with_(ITEMS, "w(query) AS (VALUES ('Blue Bolt'), ('small'), ('nowhere'))") + f"SELECT query, item_id, title FROM items JOIN w ON contains({_SF.format('title')}, {_SF.format('query')}) QUALIFY row_number() OVER (PARTITION BY query ORDER BY CASE WHEN {_SF.format('title')} = {_SF.format('query')} THEN 0 ELSE 1 END, popularity DESC, item_id) = 1",
+    "search_tiered": T.sql_with("film", f"w(query) AS (VALUES {_values([(x,) for x in SEARCHES])})") + f"""SELECT query, tier, item_id, CAST(row_number() OVER (PARTITION BY query ORDER BY popularity DESC, item_id) AS INTEGER) AS rk FROM (
   SELECT *, min(tier) OVER (PARTITION BY query) AS first FROM (
     SELECT query, item_id, popularity, CASE WHEN contains(t, q) THEN 1 WHEN len(list_filter(string_split(q, ' '), lambda x: NOT contains(t, x))) = 0 THEN 2 END AS tier
-    FROM (SELECT query, {_SP.format('query')} AS q FROM w), (SELECT item_id, popularity, {_SP.format('title')} AS t FROM items) WHERE length(q) >= 2) WHERE tier IS NOT NULL) WHERE tier = first QUALIFY rk <= 10""",
-    "targeted_fetch": f"""WITH w(query) AS (VALUES ('rising'), ('saga'), ('a history')), h AS (SELECT DISTINCT id, {_SP.format("coalesce(title, '')")} AS t, coalesce(release_date, '') AS r FROM hardcover_recent)
-SELECT query, id FROM h JOIN w ON contains(t, query) WHERE t NOT IN (SELECT {_SP.format("coalesce(title, '')")} FROM books_v1) QUALIFY row_number() OVER (PARTITION BY query ORDER BY CASE WHEN t = query THEN 0 ELSE 1 END, r DESC, id DESC) = 1""",
+    FROM (SELECT query, {_SF.format('query')} AS q FROM w), (SELECT item_id, popularity, {_SF.format('title')} AS t FROM cat) WHERE length(q) >= 2) WHERE tier IS NOT NULL) WHERE tier = first QUALIFY rk <= 10""",
+    "targeted_fetch": f"""WITH w(query) AS (VALUES ('rising'), ('saga'), ('a history')), h AS (SELECT DISTINCT id, {_SF.format("coalesce(title, '')")} AS t, coalesce(release_date, '') AS r FROM hardcover_recent)
+SELECT query, id FROM h JOIN w ON contains(t, query) WHERE t NOT IN (SELECT {_SF.format("coalesce(title, '')")} FROM books_v1) QUALIFY row_number() OVER (PARTITION BY query ORDER BY CASE WHEN t = query THEN 0 ELSE 1 END, r DESC, id DESC) = 1""",
     "tag_line_parse": f"""WITH l(id, line) AS (VALUES {_values(LINES)}),
 p AS (SELECT id, unnest(regexp_extract_all(line, '([^:]+:[^ ]*)(?: |$)', 1)) AS part FROM l),
 t AS (SELECT id, regexp_replace(lower(trim(regexp_extract(part, '^(.*):([^:]*)$', 1))), ' +', '-', 'g') AS tag, try_cast(regexp_extract(part, '^(.*):([^:]*)$', 2) AS DOUBLE) AS score FROM p),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,21 +14,42 @@ def append_stream(spark: SparkSession, source: str, schema: str, target: str, ch
     return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
 
 
+def versions(spark: SparkSession, target: str) -> list[int]:
+    """The complete versions of an upserted table, from the file system it lies on. What can't be listed is an error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    if not fs.getFileStatus(path).isDirectory():
+        raise ValueError(f"{target} is no folder of versions")
+    names = [f.getPath().getName() for f in fs.listStatus(path)]
+    done = lambda v: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{v}/_SUCCESS"))
+    return sorted(int(v[2:]) for v in names if v.startswith("v=") and done(v))
+
+
 def current(spark: SparkSession, target: str) -> DataFrame | None:
     """The newest complete version of an upserted table, or None."""
-    done = [int(v.split("=")[1]) for v in (os.listdir(target) if os.path.isdir(target) else []) if v.startswith("v=") and os.path.exists(f"{target}/{v}/_SUCCESS")]
-    return spark.read.parquet(f"{target}/v={max(done)}") if done else None
+    done = versions(spark, target)
+    return spark.read.parquet(f"{target}/v={done[-1]}") if done else None
 
 
 def upsert_stream(rows: DataFrame, keys: list[str], order: str, target: str, checkpoint: str):
-    """Each micro-batch replaces rows by key in a versioned table; a batch that is run again writes the same version."""
+    """Each micro-batch replaces rows by key in a versioned table; a batch that is run again writes the same version.
+
+    A batch fails, and writes nothing, if the versions can't be listed, if an earlier batch has left none, or if there
+    are later ones (the checkpoint isn't this table's): history is never replaced by a batch alone.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         newest = batch.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in batch.columns if c not in keys]).select(*batch.columns)
-        prior = [int(v.split("=")[1]) for v in (os.listdir(target) if os.path.isdir(target) else []) if v.startswith("v=") and os.path.exists(f"{target}/{v}/_SUCCESS")]
-        prior = [v for v in prior if v < batch_id]
-        out = upsert_last(spark.read.parquet(f"{target}/v={max(prior)}"), newest, keys) if prior else newest
+        done = versions(spark, target)
+        prior = [v for v in done if v < batch_id]
+        if batch_id > 0 and not prior:
+            raise RuntimeError(f"{target} holds no version before batch {batch_id}")
+        if any(v > batch_id for v in done):
+            raise RuntimeError(f"{target} holds versions after batch {batch_id}")
+        out = upsert_last(spark.read.parquet(f"{target}/v={prior[-1]}"), newest, keys) if prior else newest
         out.write.mode("overwrite").parquet(f"{target}/v={batch_id}")
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,9 +9,9 @@ from kinolex import plans
 from kinolex.operators.knn import as_vectors, exact_topk, weighted_vector
 from kinolex.operators.rank import round_robin
 from kinolex.operators.relational import argmax_edition, percent_rank_average, replace_groups, upsert_last
+from kinolex.operators.search import common_letters, matched, tiered, weighted_ratio
 from kinolex.operators.skew import pairs_in_groups, split_join
 from kinolex.session import checkpoint_ready
-from kinolex.plans import search_queries
 
 
 def test_pairs_of_small_and_split_groups(spark):
@@ -114,12 +114,35 @@ def test_searches_ask_with_every_fiftieth_id(spark, name, anchor):
     assert max(ids) >= 20 and got == ids
 
 
-def test_fuzzy_match_with_errors_at_word_starts(spark, monkeypatch):
-    rows = [(1, "Xlue Volt"), (2, "Red Gadget"), (3, None), (4, "Zmall Fing")]
-    monkeypatch.setattr(search_queries, "items", lambda s, d: s.createDataFrame(rows, "item_id bigint, title string"))
-    got = {r.query: r.item_id for r in search_queries.join_fuzzy_match(spark, "").collect()}
-    assert got == {"blue bollt": 1, "red wigdet": 2, "smal ring": 4}
-
+def test_searches_fold_accents_and_hyphens(spark):
+    cat = spark.createDataFrame([(1, "Amélie", 5), (2, "Spider-Man", 4), (3, "Ａ plain one", 9), (4, None, 8), (5, "Amelie again", 7)], "id int, t string, pop int")
+    q = spark.createDataFrame([("amelie",), ("spider man",), ("SPIDER-MAN",), ("spydar mann",), ("a",), (None,)], "query string")
+    got = {}
+    for r in tiered(cat, q, "id", "t", "pop", 5, fuzzy=True).orderBy("query", "rk").collect():
+        got.setdefault(r.query, []).append((r.tier, r.id))
+    assert got == {"amelie": [(1, 5), (1, 1)], "spider man": [(1, 2)], "SPIDER-MAN": [(1, 2)], "spydar mann": [(3, 2)]}
+    assert tiered(cat.limit(0), q, "id", "t", "pop", 5, fuzzy=True).count() == 0
+
+
+def test_similarity_of_strings():
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abcd ") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert common_letters(a, b) == table[-1][-1]
+        assert 0 <= weighted_ratio(a, b) <= 1 and abs(weighted_ratio(a, b) - weighted_ratio(b, a)) < 1e-12
+    assert weighted_ratio("new york mets", "mets new york") == 0.95
+    assert weighted_ratio("dune", "dune") == 1 and weighted_ratio("dune", "") == 0
+    assert weighted_ratio("saga", "the long saga of a house") >= 0.85 > weighted_ratio("saga", "the long saga of a house by the sea")
+
+
+def test_matches_need_title_and_author(spark):
+    books = spark.createDataFrame([("1", "The Upright Fable", "Stahond Hiwis"), ("2", "The Upright Fable", "Another Writer"), ("3", "Old Ways", None), ("4", None, "x"), (None, "Old Ways", "x")], "book_id string, title string, who string")
+    want = spark.createDataFrame([("Teh Uprihgt Fable", "S. Hiwis"), ("old ways", None), ("nothing such", None), ("Upright Fable", "Nobody Else At All")], "query string, by string")
+    assert {(r.query, r.book_id) for r in matched(want, books, "book_id", "title", "who").collect()} == {("Teh Uprihgt Fable", "1"), ("old ways", "3")}
 
 @pytest.mark.parametrize("other", [None, ["v"]])
 def test_split_join_with_hot_keys(spark, other):

@@ -1,5 +1,6 @@
 import gzip
 import json
+import shutil
 import zipfile
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinolex.sources import files
-from kinolex.streaming.ingest import append_stream, current, session_state, upsert_stream, windowed_counts
+from kinolex.streaming.ingest import append_stream, current, session_state, upsert_stream, versions, windowed_counts
 
 
 def test_csv_tsv_json_zip(spark, tmp_path):
@@ -41,6 +42,8 @@ def test_half_precision_and_paged_source(spark, tmp_path):
     df = spark.createDataFrame([(1, [1.0, 0.5]), (2, None)], "id int, v array<float>")
     got = {r.id: r.h for r in files.to_half(df, "v", "h").collect()}
     assert np.frombuffer(got[1], np.float16).tolist() == [1.0, 0.5] and got[2] is None
+    back = {r.id: r.w for r in files.from_half(files.to_half(df, "v", "h"), "h", "w").collect()}
+    assert back[1] == [1.0, 0.5] and back[2] is None
     p = tmp_path / "api.jsonl"
     p.write_text("".join(json.dumps({"id": k}) + "\n" for k in range(120)))
     spark.dataSource.register(files.PagedSource)
@@ -48,6 +51,20 @@ def test_half_precision_and_paged_source(spark, tmp_path):
     assert read(limit=50).count() == 120
     assert sorted(r.row_no for r in read(limit=50, start=100).collect()) == list(range(100, 120))
     assert read(limit=50, target=70).count() == 70 and read(start=500).count() == 0
+    assert [json.loads(r.payload)["id"] for r in read(limit=7, start=3).orderBy("row_no").collect()] == list(range(3, 120))
+    p.write_text('{"id": 1}\n{"id": \n')
+    with pytest.raises(Exception, match="(?i)json"):
+        read(tries=2, backoff=0.01).collect()
+
+
+@pytest.mark.parametrize("kind", [np.float16, np.float32])
+def test_npy_rows(spark, tmp_path, kind):
+    x = np.arange(70).reshape(14, 5).astype(kind)
+    np.save(tmp_path / "v.npy", x)
+    got = files.read_npy(spark, str(tmp_path / "v.npy"), rows=4).orderBy("row_no").collect()
+    assert [r.row_no for r in got] == list(range(14)) and [r.v for r in got] == x.tolist()
+    np.save(tmp_path / "w.npy", x[:0])
+    assert files.read_npy(spark, str(tmp_path / "w.npy")).count() == 0
 
 
 def test_hash_embedding(spark):
@@ -81,3 +98,25 @@ def test_windows_and_sessions(spark):
         "profile_id int, item_id int, action string, rating double, seq int",
     )
     assert sorted(map(tuple, session_state(a).collect())) == [(1, 5, 4.0), (1, 6, 1.0)]
+
+
+def test_history_that_is_missing_fails(spark, tmp_path):
+    """A batch never stands for the whole table because earlier versions can't be found."""
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "1.json").write_text('{"id": 1, "v": 1, "seq": 1}\n')
+    run = lambda ck: upsert_stream(spark.readStream.schema("id int, v int, seq int").json(str(src)), ["id"], "seq", str(tmp_path / "up"), str(tmp_path / ck)).awaitTermination()
+    run("ck")
+    shutil.move(tmp_path / "up", tmp_path / "gone")
+    (src / "2.json").write_text('{"id": 2, "v": 2, "seq": 2}\n')
+    with pytest.raises(Exception, match="no version before"):
+        run("ck")
+    assert not (tmp_path / "up" / "v=1").exists()
+    shutil.move(tmp_path / "gone", tmp_path / "up")
+    run("ck")
+    assert current(spark, str(tmp_path / "up")).count() == 2
+    with pytest.raises(Exception, match="versions after"):
+        run("another")
+    (tmp_path / "file").write_text("x")
+    with pytest.raises(ValueError):
+        versions(spark, str(tmp_path / "file"))
