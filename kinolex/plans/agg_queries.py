@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kinolex.operators.knn import weighted_vector
+from kinolex.operators.knn import exact_topk, weighted_vector
 from kinolex.operators.relational import percent_rank_average, top_per_group
 from kinolex.plans.adapters import ITEMS, PROF, TAGS, with_
 from kinolex.plans.join_queries import _CUR, curated
@@ -119,17 +119,11 @@ def sort_multi_key(s, d):
 
 
 def topn_popularity_baseline(s, d):
-    """Fifty most popular items that a profile hasn't rated.
-
-    A profile's result lies within the most popular 50 + its number of ratings, so only so many items are joined.
-    """
-    r = ratings(s, d)
-    counts = r.groupBy("profile_id").agg(F.count("*").alias("n"))
-    most = counts.agg(F.max("n").alias("n")).first().n or 0
-    pop = items(s, d).orderBy(F.desc("popularity"), "item_id").limit(50 + most).select("item_id", "popularity")
-    pop = pop.withColumn("at", F.row_number().over(Window.orderBy(F.desc("popularity"), "item_id")))
-    each = counts.select("profile_id", F.explode(F.sequence(F.lit(1), (F.col("n") + 50).cast("int"))).alias("at")).join(F.broadcast(pop), "at")
-    return top_per_group(each.join(r, ["profile_id", "item_id"], "left_anti"), ["profile_id"], ["at"], 50).select("profile_id", "item_id", "rk")
+    """Fifty most popular items that a profile hasn't rated: inner products of one number each, rated items masked in the blocks."""
+    r = ratings(s, d).select(F.col("profile_id").alias("query_id"), "item_id")
+    pop = items(s, d).select(F.col("item_id").alias("id"), F.array(F.col("popularity").cast("double")).alias("v"))
+    asked = r.select(F.col("query_id").alias("id")).distinct().withColumn("v", F.array(F.lit(1.0)))
+    return exact_topk(pop, asked, 50, exclude=r).select(F.col("query_id").alias("profile_id"), "item_id", "rk")
 
 
 QUERIES = {

@@ -11,8 +11,34 @@ from kinolex.sources.tables import items, table, tags_long
 
 # Language codes counted as English, and names of languages.
 ENGLISH = ("eng", "en-US", "en-GB", "en-CA", "en")
-LANGUAGES = {"en": "English", "fr": "French", "de": "German", "es": "Spanish", "ja": "Japanese", "zh": "Chinese"}
-SCENES = r"\b(lighthouse|harbor|observatory|clockmaker|train)\b"
+LANGUAGES = {
+    "en": "English", "fr": "French", "es": "Spanish", "ja": "Japanese", "it": "Italian", "de": "German", "ru": "Russian", "zh": "Chinese",
+    "pt": "Portuguese", "ko": "Korean", "hi": "Hindi", "sv": "Swedish", "da": "Danish", "fi": "Finnish", "nl": "Dutch", "pl": "Polish",
+    "tr": "Turkish", "cn": "Chinese", "ta": "Tamil", "te": "Telugu", "th": "Thai", "no": "Norwegian", "fa": "Persian", "ar": "Arabic",
+}
+# Patterns of one genre's themes.
+THEMES = (
+    r"science[- ]fiction", r"\bsci[- ]?fi\b", r"speculative fiction",
+    r"\bspace\b", r"\bspaceship\b", r"\bstarship\b", r"interstellar", r"\bgalax",
+    r"\bnebula\b", r"\borbit", r"\bcosmos\b",
+    r"\balien\b", r"\baliens\b", r"extraterrestrial", r"first contact",
+    r"dystopia", r"post[- ]apocalyp", r"apocalyp", r"totalitarian future",
+    r"surveillance state", r"climate collapse", r"resource war",
+    r"cyberpunk", r"cybernet", r"\bandroid\b", r"\brobot\b",
+    r"artificial intelligence", r"sentient machine", r"\bcyborg",
+    r"virtual reality", r"\bsimulation\b", r"digital consciousness",
+    r"upload(?:ed)? mind", r"neural implant",
+    r"time[- ]travel", r"time[- ]loop", r"time displacement",
+    r"climate change", r"climate crisis", r"climate fiction",
+    r"rising sea", r"ecological collapse", r"climate refugee",
+    r"\bmars\b", r"\bvenus\b", r"\bcolony\b", r"colonization",
+    r"future[- ]earth", r"far[- ]future", r"near[- ]future", r"22nd century",
+    r"genetic engineering", r"\bclone\b", r"bioengineered", r"genetically modified",
+    r"alternate (?:history|reality|timeline)", r"parallel universe", r"multiverse",
+    r"after the (?:collapse|fall|plague|virus)",
+    r"megacorp", r"corporate dystopia",
+)
+SCENES = "|".join(THEMES)
 
 
 def film_tier_filter(s, d):
@@ -58,9 +84,10 @@ def retag_candidates(s, d):
 
 
 def regex_candidates(s, d):
-    m = table(s, d, "movies")
-    hay = F.lower(F.concat_ws(" ", "title", "overview", "genres"))
-    return m.where(hay.rlike(SCENES)).select("id", "title").distinct()
+    """Books whose title, description or genres name one of the themes."""
+    b = table(s, d, "books_v1")
+    hay = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")), F.array_join(F.coalesce("genres", F.array().cast("array<string>")), " ")))
+    return b.where(hay.rlike(SCENES)).select("book_id", "title").distinct()
 
 
 def coerce_numeric(s, d):
@@ -140,7 +167,7 @@ SQL = {
     "looks_english": f"SELECT doc_id, round({_SHARE.format('text')}, 6) AS ascii_share, {_SHARE.format('text')} > 0.85 AS is_english FROM documents WHERE text IS NOT NULL",
     "tagging_candidates": with_(ITEMS, TAGS) + "SELECT item_id, popularity FROM items WHERE popularity >= 25 AND item_id NOT IN (SELECT item_id FROM tags) ORDER BY popularity DESC, item_id LIMIT 100",
     "retag_candidates": with_(ITEMS, TAGS) + "SELECT item_id, popularity, item_id IN (SELECT item_id FROM tags) AS already_tagged FROM items WHERE popularity >= 40 OR item_id IN (SELECT item_id FROM tags)",
-    "regex_candidates": rf"SELECT DISTINCT id, title FROM movies WHERE regexp_matches(lower(concat_ws(' ', title, overview, genres)), '{SCENES}')",
+    "regex_candidates": rf"SELECT DISTINCT book_id, title FROM books_v1 WHERE regexp_matches(lower(concat_ws(' ', coalesce(title, ''), coalesce(description, ''), array_to_string(coalesce(genres, []), ' '))), '{SCENES}')",
     "coerce_numeric": r"SELECT DISTINCT book_id, CAST(trunc(coalesce(try_cast(regexp_replace(work_id, '[\s\pZ]', '', 'g') AS DOUBLE), 0)) AS BIGINT) AS value FROM (SELECT book_id, CASE WHEN lower(trim(work_id)) IN ('nan') THEN NULL ELSE work_id END AS work_id FROM books_v1)",
     "extract_safe_cast": "SELECT DISTINCT id, try_cast(split_part(release_date, '-', 1) AS INTEGER) AS year, try_cast(nullif(split_part(release_date, '-', 2), '') AS INTEGER) AS month, coalesce(rating, 0.0) AS rating FROM hardcover_recent",
     "primary_of_list": f"SELECT DISTINCT id, trim(split_part({_CLEAN.format('genres')}, ',', 1)) AS value FROM movies",

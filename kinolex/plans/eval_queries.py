@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from kinolex.functions import text as X
 from kinolex.operators.knn import exact_topk
+from kinolex.operators.rank import round_robin
 from kinolex.operators.relational import percent_rank_average, top_per_group
 from kinolex.plans.adapters import ITEMS, PROF, TAGS, VECS, with_
 from kinolex.plans.vector_queries import _ANCH, _NEAR, FIRST, POOL, anchors_near, corpus, every_50, every_50_sql, tag_neighbours
-from kinolex.sources.tables import items, ratings, vec_items
+from kinolex.operators.skew import split_join
+from kinolex.plans.tools import STOP, neighbours, sql_near, sql_with
+from kinolex.session import cut
+from kinolex.sources.catalogues import catalogue, rated, unit_vectors
+from kinolex.sources.tables import items, ratings
 
 
 def _order(*cols):
@@ -64,30 +70,118 @@ def eval_user_sample(s, d):
     return n.orderBy(_order("profile_id"), "profile_id").limit(50).select("profile_id")
 
 
-def _recall(s, d, pool=POOL, like=3.5):
-    """Recall of the relevant test items of each profile by the rankings learned from the rest."""
-    split = eval_split_80_20(s, d)
-    r = ratings(s, d).join(split, ["profile_id", "item_id"]).join(vec_items(s, d).select("item_id"), "item_id", "left_semi")
-    train = r.where("not is_test")
-    test = r.where("is_test and rating >= 4").select("profile_id", "item_id")
-    likes = train.where(F.col("rating") >= like).select("profile_id", F.col("item_id").alias("query_id"))
-    q = corpus(s, d).join(likes.select(F.col("query_id").alias("id")).distinct(), "id", "left_semi")
-    best = likes.join(exact_topk(corpus(s, d), q, pool), "query_id").groupBy("profile_id", "item_id").agg(F.max("sim").alias("score"))
-    best = best.join(train.select("profile_id", "item_id"), ["profile_id", "item_id"], "left_anti")
-    top = top_per_group(best, ["profile_id"], [F.desc("score"), "item_id"], 50)
-    j = test.join(likes.select("profile_id").distinct(), "profile_id", "left_semi").join(top, ["profile_id", "item_id"], "left")
+FLOOR, LIKE = 5, 3.5
+GRID = [(c, g, t) for c in (0.2, 0.35, 0.5) for g in (0.5, 1.0, 1.5) for t in (0.15, 0.25)]
+DEFAULT = "cross=0.35 neg=1.0 tag=0.25"
+# name: by turns, title penalty, popularity floor
+VARIANTS = {"full": (True, 0.15, FLOOR), "flat": (False, 0.15, FLOOR), "no title penalty": (True, 0.0, FLOOR), "no floor": (True, 0.15, 0), "flat, no penalty, no floor": (False, 0.0, 0)}
+
+
+def _films(s, d):
+    """(train, relevant, likes): ratings of films with vectors, a fifth of each profile's held out; relevant: held out, rated 4, above the floor.
+
+    Profiles that like nothing in what is left, or have nothing relevant, don't count.
+    """
+    w = Window.partitionBy("profile_id")
+    r = rated(s, d, "film").join(unit_vectors(s, d, "film").select("item_id"), "item_id", "left_semi").join(catalogue(s, d, "film").select("item_id", "popularity"), "item_id")
+    r = r.withColumn("at", F.row_number().over(w.orderBy(_order("profile_id", "item_id"), "item_id"))).withColumn("n", F.count("*").over(w))
+    r = cut(r.withColumn("is_test", F.col("at") <= F.greatest(F.lit(1), F.round(F.col("n") * 0.2).cast("int"))))
+    train = r.where("not is_test").select("profile_id", "item_id", "rating")
+    likes = train.where(F.col("rating") >= LIKE)
+    relevant = r.where(f"is_test and rating >= 4 and popularity >= {FLOOR}").select("profile_id", "item_id").join(likes.select("profile_id").distinct(), "profile_id", "left_semi")
+    return train, relevant, likes
+
+
+def _recalls(relevant, top, by):
+    """Recall of the relevant items at 10, 20 and 50, and whether any is among 20, by profile and the columns ``by``. top: by, profile_id, item_id, rk."""
+    methods = top.select(*by).distinct()
+    j = relevant.join(F.broadcast(methods)).join(top, [*by, "profile_id", "item_id"], "left")  # methods: a handful of rows
     at = lambda k: F.round(F.count_if(F.col("rk") <= k) / F.count("*"), 6)
-    return j.groupBy("profile_id").agg(at(10).alias("r10"), at(20).alias("r20"), at(50).alias("r50"), F.max((F.coalesce("rk", F.lit(99)) <= 20).cast("int")).alias("hit20"))
+    return j.groupBy(*by, "profile_id").agg(at(10).alias("r10"), at(20).alias("r20"), at(50).alias("r50"), F.max((F.coalesce("rk", F.lit(99)) <= 20).cast("int")).alias("hit20"))
+
+
+def _offers(s, d, train, floor=FLOOR, signed=False):
+    """(profile_id, anchor_id, rating, item_id, sim, title): neighbours of liked (or all rated) items, without what is known, above the floor."""
+    anchors = train.withColumnRenamed("item_id", "anchor_id")
+    anchors = anchors.where(F.col("rating") != 3) if signed else anchors.where(F.col("rating") >= LIKE)
+    near = split_join(anchors, neighbours(s, d, "film", anchors, POOL), ["anchor_id"], ["profile_id"])
+    near = near.join(catalogue(s, d, "film").where(F.col("popularity") >= floor).select("item_id", "title", "popularity", "genres"), "item_id")
+    return near.join(train.select("profile_id", "item_id"), ["profile_id", "item_id"], "left_anti")
+
+
+def _popular(s, d, train):
+    """The fifty most popular films with a vector that a profile doesn't know."""
+    names = unit_vectors(s, d, "film").select("item_id", "vec_id").join(catalogue(s, d, "film").where(F.col("popularity") >= FLOOR).select("item_id", "popularity"), "item_id")
+    known = train.join(names, "item_id").select(F.col("profile_id").alias("query_id"), F.col("vec_id").alias("item_id"))
+    asked = train.select(F.col("profile_id").alias("id")).distinct().withColumn("v", F.array(F.lit(1.0)))
+    top = exact_topk(names.select(F.col("vec_id").alias("id"), F.array(F.col("popularity").cast("double")).alias("v")), asked, 50, exclude=known)
+    return top.select(F.col("query_id").alias("profile_id"), F.col("item_id").alias("vec_id"), "rk").join(names.select("vec_id", "item_id"), "vec_id").select("profile_id", "item_id", "rk")
+
+
+def _both_methods(s, d):
+    train, relevant, _ = _films(s, d)
+    best = _offers(s, d, train).groupBy("profile_id", "item_id").agg(F.max("sim").alias("score"))
+    old = top_per_group(best, ["profile_id"], [F.desc("score"), "item_id"], 50).select(F.lit("anchor_max").alias("method"), "profile_id", "item_id", "rk")
+    pop = _popular(s, d, train).select(F.lit("popularity").alias("method"), "profile_id", "item_id", "rk")
+    return _recalls(relevant, old.unionByName(pop), ["method"])
 
 
 def eval_recall_hit(s, d):
-    return _recall(s, d).select(F.lit("anchor_max").alias("method"), "profile_id", "r10", "r20", "r50", "hit20")
+    return _both_methods(s, d).select("method", "profile_id", "r10", "r20", "r50", "hit20")
 
 
 def eval_summary(s, d):
-    long = _recall(s, d).select(F.expr("stack(4, 'r10', r10, 'r20', r20, 'r50', r50, 'hit20', cast(hit20 as double)) as (metric, x)"))
+    long = _both_methods(s, d).select("method", F.expr("stack(4, 'r10', r10, 'r20', r20, 'r50', r50, 'hit20', cast(hit20 as double)) as (metric, x)"))
     n = F.count("x")
-    return long.groupBy("metric").agg(F.lit("anchor_max").alias("method"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("x") / F.sqrt(n), F.lit(0.0)), 6).alias("stderr"))
+    return long.groupBy("metric", "method").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("x") / F.sqrt(n), F.lit(0.0)), 6).alias("stderr"))
+
+
+def eval_tune(s, d):
+    """Recall at 20 of 18 settings of a signed ranking on half of the profiles; the best, and the default, on the other half, too.
+
+    Two best pulls (the second by cross), less the strongest push (by neg), mixed with the cosine of genres (by tag).
+    All settings are scored in one job from the same four numbers per profile and item.
+    """
+    train, relevant, _ = _films(s, d)
+    near = _offers(s, d, train, signed=True).withColumn("pull", F.round((F.col("rating") - 3) * F.col("sim") / 2, 9))
+    w = Window.partitionBy("profile_id", "item_id").orderBy(F.desc("pull"), "anchor_id")
+    up = near.where("rating > 3").withColumn("at", F.row_number().over(w)).where("at <= 2").groupBy("profile_id", "item_id").agg(F.max(F.when(F.col("at") == 1, F.col("pull"))).alias("up1"), F.coalesce(F.max(F.when(F.col("at") == 2, F.col("pull"))), F.lit(0.0)).alias("up2"))
+    down = near.where("rating < 3").groupBy("profile_id", "item_id").agg(F.greatest(F.max(-F.col("pull")), F.lit(0.0)).alias("down"))
+    base = up.join(down, ["profile_id", "item_id"], "left").fillna(0.0, ["down"])
+    genres = catalogue(s, d, "film").select("item_id", F.explode("genres").alias("genre"))
+    weight = train.join(genres, "item_id").groupBy("profile_id", "genre").agg(F.sum(F.col("rating") - 3).alias("w"))
+    length = weight.groupBy("profile_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("pn")).where("pn > 0")
+    cos = base.select("profile_id", "item_id").join(genres, "item_id").join(weight, ["profile_id", "genre"], "left").groupBy("profile_id", "item_id").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("c"), F.count("*").alias("g"))
+    cos = cos.join(length, "profile_id").select("profile_id", "item_id", F.round(F.col("c") / (F.col("pn") * F.sqrt("g")), 9).alias("cos"))
+    base = base.join(cos, ["profile_id", "item_id"], "left").fillna(0.0, ["cos"])
+    grid = F.array(*[F.struct(F.lit(f"cross={c} neg={g} tag={t}").alias("config"), F.lit(c).alias("c"), F.lit(g).alias("g"), F.lit(t).alias("t")) for c, g, t in GRID])
+    each = base.withColumn("k", F.explode(grid))
+    score = (1 - F.col("k.t")) * (F.col("up1") + F.col("k.c") * F.col("up2") - F.col("k.g") * F.col("down")) + F.col("k.t") * F.col("cos")
+    each = each.select(F.col("k.config").alias("config"), "profile_id", "item_id", F.round(score, 9).alias("score"))
+    top = top_per_group(each, ["config", "profile_id"], [F.desc("score"), "item_id"], 50).select("config", "profile_id", "item_id", "rk")
+    got = _recalls(relevant, top, ["config"]).withColumn("seen", F.substring(_order("profile_id"), 1, 1) < "8")
+    means = got.groupBy("config").agg(F.round(F.avg(F.when(F.col("seen"), F.col("r20"))), 6).alias("r20"), F.round(F.avg(F.when(~F.col("seen"), F.col("r20"))), 6).alias("unseen"))
+    best = means.agg(F.min(F.struct((-F.coalesce("r20", F.lit(-1.0))).alias("less"), "config")).getField("config").alias("best"))
+    means = means.join(F.broadcast(best))  # one row
+    return means.select("config", "r20", (F.col("config") == F.col("best")).alias("chosen"), F.when(F.col("config").isin(DEFAULT) | (F.col("config") == F.col("best")), F.col("unseen")).alias("r20_unseen"))
+
+
+def eval_ablate(s, d):
+    """Recall with one part of the ranking taken away at a time: turns, title penalty, popularity floor, and all three; in one job."""
+    train, relevant, _ = _films(s, d)
+    near = _offers(s, d, train, floor=0)
+    near = near.join(catalogue(s, d, "film").select(F.col("item_id").alias("anchor_id"), F.col("title").alias("seed")), "anchor_id")
+    alike = F.arrays_overlap(X.title_tokens(F.col("title"), STOP), X.title_tokens(F.col("seed"), STOP))
+    kinds = F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(turns).alias("turns"), F.lit(p).alias("p"), F.lit(f).alias("f")) for n, (turns, p, f) in VARIANTS.items()])
+    each = near.withColumn("k", F.explode(kinds)).where(F.col("popularity") >= F.col("k.f"))
+    each = cut(each.select("k.variant", "k.turns", "profile_id", F.col("rating").alias("anchor_order"), "anchor_id", "item_id", F.round(F.col("sim") - F.when(alike, F.col("k.p")).otherwise(0.0), 9).alias("score")))
+    flat = each.where("not turns").groupBy("variant", "profile_id", "item_id").agg(F.max("score").alias("score"))
+    flat = top_per_group(flat, ["variant", "profile_id"], [F.desc("score"), "item_id"], 50).select("variant", "profile_id", "item_id", "rk")
+    both = each.where("turns").withColumn("profile_id", F.concat_ws("|", "profile_id", "variant")).withColumn("work", F.lit(None).cast("string"))
+    turns = round_robin(both, 2, 50).select(F.substring_index("profile_id", "|", -1).alias("variant"), F.substring_index("profile_id", "|", 1).cast("bigint").alias("profile_id"), "item_id", F.col("pick_no").alias("rk"))
+    got = _recalls(relevant, flat.unionByName(turns), ["variant"])
+    mean = lambda c: F.round(F.avg(c), 6).alias(c)
+    return got.groupBy("variant").agg(mean("r10"), mean("r20"), mean("r50"), mean("hit20"), F.count("*").alias("profiles"))
 
 
 def eval_neighbors(s, d, seeds=FIRST):
@@ -104,34 +198,22 @@ def eval_neighbors(s, d, seeds=FIRST):
     return out.select("anchor_id", F.round("ild", 6).alias("ild"), F.round("novelty", 6).alias("novelty"), F.round(F.coalesce("o", F.lit(0.0)), 6).alias("tag_overlap"))
 
 
-def _configs(s, d, configs):
-    out = None
-    for pool, like in configs:
-        row = _recall(s, d, pool, like).agg(F.lit(f"pool={pool} like={like}").alias("config"), F.round(F.avg("r20"), 6).alias("r20"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def eval_tune(s, d):
-    """Recall of a small grid of pool sizes and liking thresholds."""
-    return _configs(s, d, [(p, k) for p in (50, 100) for k in (3.5, 4.0)])
-
-
-def eval_ablate(s, d):
-    """Recall with one part of the ranking taken away: as is, smaller pool, every rated item an anchor."""
-    return _configs(s, d, [(100, 3.5), (10, 3.5), (100, 0.0)])
-
-
 QUERIES = {f.__name__: f for f in (eval_loo, eval_split_80_20, eval_user_sample, eval_recall_hit, eval_summary, eval_neighbors, eval_tune, eval_ablate)}
 QUERIES |= every_50(eval_neighbors)
 
 _SPLIT = """split AS (SELECT profile_id, item_id, row_number() OVER (PARTITION BY profile_id ORDER BY md5(concat_ws('|', 'seed', profile_id, item_id)), item_id)
   <= greatest(1, CAST(round(count(*) OVER (PARTITION BY profile_id) * 0.2) AS INTEGER)) AS is_test FROM prof)"""
-_REC = with_(PROF, VECS, _SPLIT, "r AS (SELECT prof.*, is_test FROM prof JOIN split USING (profile_id, item_id) WHERE item_id IN (SELECT item_id FROM vecs))",
-    _NEAR.format("a.item_id IN (SELECT item_id FROM r WHERE NOT is_test AND rating >= 3.5)", POOL),
-    "top AS (SELECT profile_id, item_id, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, item_id) AS rk FROM (SELECT profile_id, near.item_id, max(sim) AS score FROM r JOIN near ON anchor_id = r.item_id WHERE NOT is_test AND rating >= 3.5 GROUP BY 1, 2) c WHERE NOT EXISTS (SELECT 1 FROM r WHERE NOT is_test AND r.profile_id = c.profile_id AND r.item_id = c.item_id) QUALIFY rk <= 50)",
-    """rec AS (SELECT profile_id, round(count(*) FILTER (rk <= 10) / count(*), 6) AS r10, round(count(*) FILTER (rk <= 20) / count(*), 6) AS r20, round(count(*) FILTER (rk <= 50) / count(*), 6) AS r50, max(CASE WHEN rk <= 20 THEN 1 ELSE 0 END) AS hit20
-  FROM r LEFT JOIN top USING (profile_id, item_id) WHERE is_test AND rating >= 4 AND profile_id IN (SELECT profile_id FROM r WHERE NOT is_test AND rating >= 3.5) GROUP BY 1)""")
+_TRAIN = f"""rs AS MATERIALIZED (SELECT p.profile_id, p.item_id, rating, popularity, row_number() OVER (PARTITION BY profile_id ORDER BY md5(concat_ws('|', 'seed', profile_id, item_id)), item_id)
+  <= greatest(1, CAST(round(count(*) OVER (PARTITION BY profile_id) * 0.2) AS INTEGER)) AS is_test FROM prof p JOIN cat USING (item_id) WHERE item_id IN (SELECT item_id FROM vec)),
+train AS (SELECT * FROM rs WHERE NOT is_test),
+rel AS (SELECT profile_id, item_id FROM rs WHERE is_test AND rating >= 4 AND popularity >= {FLOOR} AND profile_id IN (SELECT profile_id FROM train WHERE rating >= {LIKE}))"""
+_REC = sql_with("film", _TRAIN, sql_near(f"SELECT item_id FROM train WHERE rating >= {LIKE}", POOL), f"""old AS (SELECT 'anchor_max' AS method, profile_id, item_id, row_number() OVER (PARTITION BY profile_id ORDER BY score DESC, item_id) AS rk FROM (
+    SELECT t.profile_id, n.item_id, max(sim) AS score FROM train t JOIN near n ON n.anchor_id = t.item_id JOIN cat c ON c.item_id = n.item_id WHERE t.rating >= {LIKE} AND c.popularity >= {FLOOR}
+    AND NOT EXISTS (SELECT 1 FROM train k WHERE k.profile_id = t.profile_id AND k.item_id = n.item_id) GROUP BY 1, 2) QUALIFY rk <= 50),
+pop AS (SELECT 'popularity' AS method, u.profile_id, v.item_id, row_number() OVER (PARTITION BY u.profile_id ORDER BY popularity DESC, vec_id) AS rk FROM (SELECT DISTINCT profile_id FROM train) u, vec v JOIN cat USING (item_id)
+  WHERE popularity >= {FLOOR} AND NOT EXISTS (SELECT 1 FROM train k WHERE k.profile_id = u.profile_id AND k.item_id = v.item_id) QUALIFY rk <= 50),
+rec AS (SELECT m.method, rel.profile_id, round(count(*) FILTER (rk <= 10) / count(*), 6) AS r10, round(count(*) FILTER (rk <= 20) / count(*), 6) AS r20, round(count(*) FILTER (rk <= 50) / count(*), 6) AS r50, max(CASE WHEN rk <= 20 THEN 1 ELSE 0 END) AS hit20
+  FROM rel CROSS JOIN (SELECT 'anchor_max' AS method UNION ALL SELECT 'popularity') m LEFT JOIN (SELECT * FROM old UNION ALL SELECT * FROM pop) t ON t.method = m.method AND t.profile_id = rel.profile_id AND t.item_id = rel.item_id GROUP BY 1, 2)""")
 SQL = {
     "eval_loo": with_(PROF, VECS, "liked0 AS (SELECT profile_id, item_id AS anchor_id FROM prof WHERE rating >= 3.5 AND item_id IN (SELECT item_id FROM vecs))", _NEAR.format("a.item_id IN (SELECT anchor_id FROM liked0)", POOL), """
 hold AS (SELECT profile_id, item_id AS held FROM prof WHERE rating >= 4),
@@ -141,8 +223,8 @@ rk AS (SELECT profile_id, held, item_id, row_number() OVER (PARTITION BY profile
 round(avg(CASE WHEN rk <= 50 THEN 1.0 / rk ELSE 0 END), 6) AS mrr, count(*) AS n FROM hold h LEFT JOIN rk ON rk.profile_id = h.profile_id AND rk.held = h.held AND rk.item_id = h.held""",
     "eval_split_80_20": with_(PROF, _SPLIT) + "SELECT profile_id, item_id, is_test FROM split",
     "eval_user_sample": with_(PROF) + "SELECT profile_id FROM (SELECT profile_id FROM prof GROUP BY 1 HAVING count(*) BETWEEN 38 AND 60) ORDER BY md5(concat_ws('|', 'seed', profile_id)), profile_id LIMIT 50",
-    "eval_recall_hit": _REC + "SELECT 'anchor_max' AS method, profile_id, r10, r20, r50, hit20 FROM rec",
-    "eval_summary": _REC + "SELECT metric, 'anchor_max' AS method, round(avg(x), 6) AS mean, round(coalesce(stddev_samp(x) / sqrt(count(x)), 0), 6) AS stderr FROM (SELECT unnest(['r10', 'r20', 'r50', 'hit20']) AS metric, unnest([r10, r20, r50, CAST(hit20 AS DOUBLE)]) AS x FROM rec) GROUP BY 1",
+    "eval_recall_hit": _REC + "SELECT method, profile_id, r10, r20, r50, hit20 FROM rec",
+    "eval_summary": _REC + "SELECT metric, method, round(avg(x), 6) AS mean, round(coalesce(stddev_samp(x) / sqrt(count(x)), 0), 6) AS stderr FROM (SELECT unnest(['r10', 'r20', 'r50', 'hit20']) AS metric, unnest([r10, r20, r50, CAST(hit20 AS DOUBLE)]) AS x, method FROM rec) GROUP BY 1, 2",
     "eval_neighbors": with_(ITEMS, VECS, TAGS, _NEAR.format("a.item_id < 20 AND a.item_id <> b.item_id", 10), "n AS (SELECT item_id, sqrt(sum(score * score)) AS n FROM tags GROUP BY 1)", """
 tk AS (SELECT item_id, other_id FROM (SELECT a.item_id, b.item_id AS other_id, round(sum(a.score / na.n * (b.score / nb.n)), 9) AS cos FROM tags a JOIN tags b USING (tag) JOIN n na ON na.item_id = a.item_id JOIN n nb ON nb.item_id = b.item_id WHERE a.item_id < 20 AND a.item_id <> b.item_id GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY cos DESC, other_id) <= 10),
 ild AS (SELECT x.anchor_id, 1 - avg(list_dot_product(a.v, b.v)) AS ild FROM near x JOIN near y ON x.anchor_id = y.anchor_id AND x.item_id < y.item_id JOIN vecs a ON a.item_id = x.item_id JOIN vecs b ON b.item_id = y.item_id GROUP BY 1),

@@ -99,8 +99,8 @@ def union_all_corpora(s, d):
 
 
 def _halves(s, d):
-    t = tags_long(s, d)
-    old = t.where("item_id % 3 <> 0")
+    """All tags, and new scores of the items with even ids."""
+    old = t = tags_long(s, d)
     new = t.where("item_id % 2 = 0").select("item_id", "tag", F.round(F.col("score") + 1, 4).alias("score"))
     return old, new
 
@@ -156,7 +156,7 @@ _BILLED = """billed AS (SELECT film_id, person_id, CAST(row_number() OVER (PARTI
 _CL = "(CASE WHEN lower(trim(coalesce({0}, ''))) = 'nan' THEN '' ELSE trim(coalesce({0}, '')) END)"
 _KEY = "concat(substr(regexp_replace(lower({0}), '[^a-z0-9]', '', 'g'), 1, 20), '|', substr(regexp_replace(lower({1}), '[^a-z0-9]', '', 'g'), 1, 10))"
 _EV = "ev AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id, ts FROM events)"
-_HALF = "o AS (SELECT * FROM tags WHERE item_id % 3 <> 0), n AS (SELECT item_id, tag, round(score + 1, 4) AS score FROM tags WHERE item_id % 2 = 0)"
+_HALF = "o AS (SELECT * FROM tags), n AS (SELECT item_id, tag, round(score + 1, 4) AS score FROM tags WHERE item_id % 2 = 0)"
 SQL = {
     "join_semi_corpus": with_(PROF) + "SELECT profile_id, item_id, rating FROM prof WHERE item_id IN (SELECT vec_id FROM embeddings)",
     "join_anti_rated": with_(PROF) + "SELECT vec_id AS item_id FROM embeddings WHERE vec_id NOT IN (SELECT item_id FROM prof WHERE profile_id = 1)",

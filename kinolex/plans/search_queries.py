@@ -136,6 +136,25 @@ def embed_text_build(s, d):
     return m.select("id", F.explode(F.create_map(*[x for k, v in kinds.items() for x in (F.lit(k), F.concat_ws(" ", *v))])).alias("variant", "text")).distinct()
 
 
+def embed_text_series(s, d):
+    """Texts of series to encode: overview, genres, creators, networks and seasons."""
+    t = table(s, d, "tv_corpus")
+    part = lambda label, c: F.when(F.size(X.listed(X.cleaned(F.col(c)))) > 0, F.concat(F.lit(label), F.array_join(X.listed(X.cleaned(F.col(c))), ", "), F.lit(".")))
+    seasons = F.when(F.col("number_of_seasons") > 0, F.concat(F.col("number_of_seasons").cast("string"), F.lit(" seasons.")))
+    o = F.nullif(X.cleaned(F.col("overview")), F.lit(""))
+    text = F.concat_ws(" ", o, part("Genres: ", "genres"), part("Created by ", "created_by"), part("On ", "networks"), seasons)
+    return t.select("tmdb_id", text.alias("text")).distinct()
+
+
+def embed_text_books(s, d):
+    """Texts of books to encode: title and author, then description and genres."""
+    b = table(s, d, "books_v1")
+    author = F.when(X.cleaned(F.col("primary_author")) != "", F.concat(F.lit("by "), X.cleaned(F.col("primary_author")), F.lit(".")))
+    genres = F.when(F.size("genres") > 0, F.concat(F.lit("Genres: "), F.array_join("genres", ", "), F.lit(".")))
+    clean = lambda c: F.nullif(X.cleaned(F.col(c)), F.lit(""))
+    return b.select("book_id", F.concat_ws(" ", clean("title"), author, clean("description"), genres).alias("text")).distinct()
+
+
 def string_norm_key(s, d):
     return items(s, d).select("item_id", X.short_key(F.col("title"), F.col("maker")).alias("value"))
 
@@ -166,7 +185,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         topn_popular_substring, topn_with_overfetch, studio_search, people_search, people_search_directors, search_user_ratings, search_user_ratings_like, get_recommendations, find_seed_row, search_tiered, search_fuzzy, join_fuzzy_match, targeted_fetch, tag_line_parse,
-        grounding_check, parse_profile_json, embed_text_build, string_norm_key, string_norm_spaced, string_norm_words, embed_text_encode, scan_parquet, scan_jsonl,
+        grounding_check, parse_profile_json, embed_text_build, embed_text_series, embed_text_books, string_norm_key, string_norm_spaced, string_norm_words, embed_text_encode, scan_parquet, scan_jsonl,
     )
 }
 
@@ -213,6 +232,11 @@ SELECT DISTINCT reply_id, title FROM t WHERE length(title) >= 3 AND NOT EXISTS (
 k AS (SELECT id, o, p, CASE WHEN len(g) > 0 THEN concat('Genres: ', array_to_string(g, ', '), '.') END AS g,
   CASE WHEN len(k0) > 0 THEN concat('Themes: ', array_to_string(list_filter(k0, lambda x, i: list_position(k0, x) = i)[1:20], ', '), '.') END AS k, CASE WHEN p <> '' THEN concat('By ', p, '.') END AS pp FROM m)
 SELECT DISTINCT id, variant, text FROM (SELECT id, unnest(['overview', 'rich', 'keywords', 'people']) AS variant, unnest([concat_ws(' ', o), concat_ws(' ', o, g), concat_ws(' ', o, k, g), concat_ws(' ', o, k, g, pp)]) AS text FROM k)""",
+    "embed_text_series": f"""SELECT DISTINCT tmdb_id, concat_ws(' ', nullif({_CL.format('overview')}, ''), CASE WHEN len(g) > 0 THEN concat('Genres: ', array_to_string(g, ', '), '.') END, CASE WHEN len(c) > 0 THEN concat('Created by ', array_to_string(c, ', '), '.') END,
+  CASE WHEN len(n) > 0 THEN concat('On ', array_to_string(n, ', '), '.') END, CASE WHEN number_of_seasons > 0 THEN concat(number_of_seasons, ' seasons.') END) AS text
+FROM (SELECT *, {_LIST.format('genres')} AS g, {_LIST.format('created_by')} AS c, {_LIST.format('networks')} AS n FROM tv_corpus)""",
+    "embed_text_books": f"""SELECT DISTINCT book_id, concat_ws(' ', nullif({_CL.format('title')}, ''), CASE WHEN {_CL.format('primary_author')} <> '' THEN concat('by ', {_CL.format('primary_author')}, '.') END, nullif({_CL.format('description')}, ''),
+  CASE WHEN len(genres) > 0 THEN concat('Genres: ', array_to_string(genres, ', '), '.') END) AS text FROM books_v1""",
     "string_norm_key": with_(ITEMS) + "SELECT item_id, concat(substr(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), 1, 20), '|', substr(regexp_replace(lower(maker), '[^a-z0-9]', '', 'g'), 1, 10)) AS value FROM items",
     "string_norm_spaced": f"SELECT DISTINCT book_id, {_SP.format('''coalesce(title, '')''')} AS value FROM books_v1",
     "string_norm_words": r"SELECT doc_id, array_to_string(string_split_regex(trim(text), '[ \t\n\x0B\f\r]+')[1:30], ' ') AS value FROM documents WHERE text IS NOT NULL",
