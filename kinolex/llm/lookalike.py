@@ -19,16 +19,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinolex.operators.skew import pairs_in_groups
+from kinolex.operators.skew import pairs_in_groups, split_join
 from kinolex.session import cut
 
-# Cyrillic and Greek letters that are drawn as a Latin letter, and that letter.
+# Cyrillic, Greek, Armenian, Cherokee and Lisu letters that are drawn as a Latin letter, and that letter.
 LOOKALIKE = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C",
     "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G", "Ӏ": "I", "а": "a", "е": "e", "ѕ": "s", "і": "i",
     "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
     "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
+    "ү": "y", "ӏ": "l", "Տ": "S", "Օ": "O", "օ": "o", "ս": "u", "հ": "h", "ո": "n",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z",
+    "Ꮪ": "S", "Ꮩ": "V", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N",
+    "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓳ": "O", "ꓴ": "U",
     "ɡ": "g", "ɑ": "a", "ı": "i", "ꓲ": "I",
     "‐": "-", "‑": "-", "﹣": "-",
 }
@@ -199,6 +204,11 @@ def with_form(df: DataFrame, text: str, form: str = "form") -> DataFrame:
     return df.mapInArrow(convert, schema)
 
 
+def _spelled(df: DataFrame, group: str, member: str, text: str) -> DataFrame:
+    rows = with_form(df.select(group, member, text).where(F.length(F.trim(text)) > 0), text).where(F.length("form") > 0)
+    return cut(rows.select(F.to_json(F.struct(group, "form")).alias("look"), group, F.col(text).alias("spelling"), member).distinct())
+
+
 def same_look_pairs(df: DataFrame, group: str, member: str, text: str) -> DataFrame:
     """Pairs of different members of a group whose texts look the same but aren't the same characters.
 
@@ -206,13 +216,26 @@ def same_look_pairs(df: DataFrame, group: str, member: str, text: str) -> DataFr
     spelling, and members are added last, so a title that many rows share costs nothing unless it is spelled twice.
     Null, blank and invisible texts pair with nothing. Returns group, {member}_a < {member}_b.
     """
-    rows = with_form(df.select(group, member, text).where(F.length(F.trim(text)) > 0), text).where(F.length("form") > 0)
-    spelled = cut(rows.select(F.to_json(F.struct(group, "form")).alias("look"), group, F.col(text).alias("spelling"), member).distinct())
+    spelled = _spelled(df, group, member, text)
     kinds = spelled.select("look", "spelling").distinct()
     kinds = pairs_in_groups(kinds, "look", "spelling")
     a = spelled.select("look", group, F.col("spelling").alias("spelling_a"), F.col(member).alias("_a"))
     b = spelled.select("look", F.col("spelling").alias("spelling_b"), F.col(member).alias("_b"))
-    met = kinds.join(a, ["look", "spelling_a"]).join(b, ["look", "spelling_b"]).where(F.col("_a") != F.col("_b"))
+    met = split_join(kinds, a, ["look", "spelling_a"], ["spelling_b"], ["_a"])
+    met = split_join(met, b, ["look", "spelling_b"], ["spelling_a", "_a"], ["_b"]).where(F.col("_a") != F.col("_b"))
     return met.select(
         group, F.least("_a", "_b").alias(f"{member}_a"), F.greatest("_a", "_b").alias(f"{member}_b")
     ).distinct()
+
+
+def same_look_classes(df: DataFrame, group: str, member: str, text: str) -> DataFrame:
+    """(group, member, class_id, links): each member once per spelling's class, without writing pairs out.
+
+    A class is a look, named by its smallest member; links counts the members that share the look in another spelling.
+    Null, blank and invisible texts have no class.
+    """
+    spelled = _spelled(df, group, member, text)
+    looks = spelled.groupBy("look").agg(F.min(member).alias("class_id"), F.count("*").alias("_all"))
+    own = spelled.groupBy("look", "spelling").agg(F.count("*").alias("_own"))
+    rows = split_join(split_join(spelled, looks, ["look"], [member]), own, ["look", "spelling"], [member])
+    return rows.groupBy(group, member, "class_id").agg(F.sum(F.col("_all") - F.col("_own")).alias("links"))

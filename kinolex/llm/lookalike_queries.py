@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinolex.llm.lookalike import same_look_pairs, with_form
+from kinolex.llm.lookalike import same_look_classes, same_look_pairs, with_form
 from kinolex.sources import table
 
 
@@ -25,4 +25,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_look_pairs(_titles(spark, sf_dir), "tbl", "id", "title").select("tbl", "id_a", "id_b")
 
 
-QUERIES = {"p5_found": p5_found, "p5_forms": p5_forms}
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each title's class of equal look, and how many titles of it are spelled differently: the linear form of p5_found."""
+    return same_look_classes(_titles(spark, sf_dir), "tbl", "id", "title")
+
+
+QUERIES = {"p5_found": p5_found, "p5_forms": p5_forms, "p5_classes": p5_classes}

@@ -45,6 +45,16 @@ def test_same_look_pairs(spark):
 ITEM = " ".join(f"word{k}" for k in range(30))
 
 
+def test_classes_of_one_look(spark):
+    """Classes agree with the pairs; a look that a third of the rows share is counted, not paired."""
+    rows = [("m", k, ["Star", "Ｓtar", "Stаr"][k % 3]) for k in range(30)] + [("m", 90, "Moon"), ("t", 1, "Star"), ("m", 91, None), ("m", 92, "\u200b")]
+    df = spark.createDataFrame(rows, "g string, id int, title string")
+    got = {(r.g, r.id): (r.class_id, r.links) for r in lookalike.same_look_classes(df, "g", "id", "title").collect()}
+    assert got == {("m", k): (0, 20) for k in range(30)} | {("m", 90): (90, 0), ("t", 1): (1, 0)}
+    assert lookalike.same_look_pairs(df, "g", "id", "title").count() == 30 * 20 // 2
+    assert lookalike.same_look_classes(df.limit(0), "g", "id", "title").count() == 0
+
+
 def test_leaks(spark):
     w = ITEM.split()
     texts = {
