@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinolex.session import cut
+
 MISSING_COST = 1_000_000
 
 
@@ -115,7 +117,7 @@ def best_bundles(df: DataFrame, key: str, record: str, bundles: list[Bundle]) ->
     names = F.array(*[F.lit(b.name) for b in bundles])
     weight = F.element_at(F.array(*[F.lit(b.weight) for b in bundles]), F.col("bundle") + 1)
     by = Window.partitionBy("_key", "bundle").orderBy("best.less", "best._record", F.col("sig").cast("string"))
-    ranked = cand.withColumn("rk", F.row_number().over(by) - 1)
+    ranked = cut(cand.withColumn("rk", F.row_number().over(by) - 1))
     lead = ranked.where("rk = 0").groupBy("_key").agg(F.min_by("sig", "bundle").alias("lead"))
     ranked = ranked.join(lead, "_key")
     # a first choice: everything that fits the leading candidate, and, as one value per column, each other
