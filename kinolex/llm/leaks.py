@@ -51,20 +51,21 @@ def _fold(text: str) -> str:
     return unicodedata.normalize("NFC", _UNSEEN.sub("", _WRAP.sub(_CUT, text)).casefold())
 
 
-def words(text: str, pieces: bool = False) -> list[list[str]]:
+def _parts(word: str, pieces: bool) -> tuple[str, ...]:
+    parts = []
+    for p in _HYPHEN.split(word):
+        parts.append(_DROP.sub("", p))
+        if pieces and _CUT in p:
+            parts += [_DROP.sub("", x) for x in p.split(_CUT)]
+    return tuple(p for p in parts if p)
+
+
+def words(text: str, pieces: bool = False) -> list[tuple[str, ...]]:
     """The parts of each word of a folded text: letters and digits between hyphens, apostrophes dropped.
 
     A part that a line end cut is given joined; with ``pieces`` its pieces follow, too.
     """
-    out = []
-    for w in _WORD.findall(text):
-        parts = []
-        for p in _HYPHEN.split(w):
-            parts.append(_DROP.sub("", p))
-            if pieces and _CUT in p:
-                parts += [_DROP.sub("", x) for x in p.split(_CUT)]
-        out.append([p for p in parts if p])
-    return out
+    return [_parts(w, pieces) for w in _WORD.findall(text)]
 
 
 def _expand(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +123,8 @@ class Index:
         self.list_block = np.searchsorted(terms[new], every)
         self.list_max = np.maximum.reduceat(self.block_max, self.list_block[:-1]) if len(new) else np.zeros(0, np.float32)
         self.blocks = -(-n // ITEM_BLOCK)
+        self.chunks: dict[int, list[str]] = {}  # of items looked at
+        self.terms: dict[str, list[int]] = {}  # of words seen
 
     def retrieve(self, passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(passage, item) of all scores that are high enough; passages are arrays of distinct term numbers."""
@@ -161,7 +164,9 @@ class Index:
         """Whether RUN consecutive words of the item stand in a document's letters, from the start of a word to an end of one."""
         w, half = self.items[item][1], RUN // 2
         # every run of RUN words holds one whole chunk of half as many that starts at a multiple of the half
-        if not any("".join(w[k : k + half]) in stream for k in range(0, len(w) - half + 1, half)):
+        if item not in self.chunks:
+            self.chunks[item] = ["".join(w[k : k + half]) for k in range(0, len(w) - half + 1, half)]
+        if not any(c in stream for c in self.chunks[item]):
             return False
         for k in range(len(w) - RUN + 1):
             run = "".join(w[k : k + RUN])
@@ -192,11 +197,16 @@ def letters(text: str) -> tuple[str, tuple[set[int], set[int]]]:
 
 def passages_of(ix: Index, text: str) -> list[np.ndarray]:
     """Distinct known terms of each passage of a folded text; neighbours share ix.overlap parts of words."""
-    known = [ix.vocabulary.get(t, -1) for w in words(text, pieces=True) for t in w]
+    known: list[int] = []
+    for w in _WORD.findall(text):
+        if (own := ix.terms.get(w)) is None:
+            own = [ix.vocabulary.get(t, -1) for t in _parts(w, True)]
+            if len(w) <= 64 and len(ix.terms) < 1 << 17:
+                ix.terms[w] = own
+        known += own
     out = []
     for s in range(0, max(1, len(known) - ix.overlap), 2 * ix.overlap):
-        p = np.unique(np.array(known[s : s + 3 * ix.overlap], np.int64))
-        out.append(p[p >= 0])
+        out.append(np.array(sorted({t for t in known[s : s + 3 * ix.overlap] if t >= 0}), np.int64))
     return out
 
 
