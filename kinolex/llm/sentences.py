@@ -105,9 +105,14 @@ def pairs_of(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
 class Candidate:
     """A place where a sentence may end. kinds: keys by which candidates count as alike, the most particular first."""
 
-    __slots__ = ("end", "start", "next", "prev", "prev2", "term", "closer", "at_start", "script", "gap", "final")
+    __slots__ = ("end", "start", "next", "prev", "prev2", "term", "closer", "at_start", "script", "gap", "final", "kinds")
 
     def keys(self) -> tuple[tuple, ...]:
+        if self.kinds is None:
+            self.kinds = self._keys()
+        return self.kinds
+
+    def _keys(self) -> tuple[tuple, ...]:
         if self.closer:
             return ((self.script, "", self.term, self.closer, self.at_start),)
         if self.term != ".":
@@ -173,6 +178,7 @@ def candidates(text: str, lo: int, hi: int) -> list[Candidate]:
         if e < hi and opened is None and text[e] in TERMINATORS:
             continue
         c = Candidate()
+        c.kinds = None
         c.end, c.term = e, m.group() if len(m.group()) == 1 else (m.group()[0] * 2 if len(set(m.group())) == 1 else m.group()[:1] + "+")
         k = e
         while k < hi and text[k].isspace():
@@ -317,9 +323,9 @@ def counts_of(text: str, found: list[Candidate], keys: dict[tuple, int], words:
                 n[LONG_END if c.final else LONG_MID, 0] += 1
             if key in keys:
                 n["e" if c.final else "m", keys[key]] += 1
-    for w in _PLAIN.findall(text.lower()):
+    for w, k in Counter(_PLAIN.findall(text.lower())).items():
         if w in words:
-            n["a", words[w]] += 1
+            n["a", words[w]] += k
     return n
 
 
