@@ -17,6 +17,7 @@ from kinolex.operators.rank import round_robin
 from kinolex.operators.relational import keep_one, top_per_group
 from kinolex.operators.search import contains
 from kinolex.operators.skew import split_join
+from kinolex.session import cut
 from kinolex.sources.catalogues import catalogue, rated, sql_views, unit_vectors
 
 LIKED = 3.5
@@ -37,10 +38,11 @@ def _narrowed(cat: DataFrame, floor: int = 0, years: tuple = (None, None), langu
 
 
 def _without_known_makers(cand: DataFrame, r: DataFrame, cat: DataFrame) -> DataFrame:
-    """Candidates (profile_id, item_id, makers, ...) of makers of whom the profile has rated nothing."""
-    known = r.join(cat.select("item_id", F.explode("makers").alias("maker")), "item_id").select("profile_id", "maker").distinct()
-    met = cand.select("profile_id", "item_id", F.explode("makers").alias("maker")).distinct()
-    return cand.join(met.join(known, ["profile_id", "maker"]).select("profile_id", "item_id").distinct(), ["profile_id", "item_id"], "left_anti")
+    """Candidates (profile_id, item_id, ...) of makers of whom the profile has rated nothing."""
+    makers = cat.select("item_id", F.explode("makers").alias("maker"))
+    known = r.join(makers, "item_id").select("profile_id", "maker").distinct()
+    met = cand.select("profile_id", "item_id").distinct().join(makers, "item_id").join(known, ["profile_id", "maker"])
+    return cand.join(met.select("profile_id", "item_id").distinct(), ["profile_id", "item_id"], "left_anti")
 
 
 def neighbours(s: SparkSession, d: str, medium: str, anchors: DataFrame, pool: int) -> DataFrame:
@@ -54,7 +56,7 @@ def neighbours(s: SparkSession, d: str, medium: str, anchors: DataFrame, pool: i
 
 
 def candidates(s: SparkSession, d: str, medium: str, liked: DataFrame | None = None, pool: int = 100, floor: int = 0, years: tuple = (None, None), language: str | None = None, known_makers: bool = True) -> DataFrame:
-    """(profile_id, anchor_order, anchor_id, item_id, sim, title, genres, makers, work): what the neighbours of liked items offer.
+    """(profile_id, anchor_order, anchor_id, item_id, sim): what the neighbours of liked items offer.
 
     liked: profile_id, anchor_order, anchor_id; by default all that is rated at least LIKED, best first. Rated items,
     the anchors themselves and, unless ``known_makers``, other works of their makers are left out after the pool.
@@ -62,11 +64,10 @@ def candidates(s: SparkSession, d: str, medium: str, liked: DataFrame | None = N
     r, cat = rated(s, d, medium), catalogue(s, d, medium)
     if liked is None:
         liked = r.where(F.col("rating") >= LIKED).select("profile_id", F.col("rating").alias("anchor_order"), F.col("item_id").alias("anchor_id"))
-    near = neighbours(s, d, medium, liked, pool)
-    cand = split_join(liked, near, ["anchor_id"], ["profile_id"])
-    cand = cand.join(_narrowed(cat, floor, years, language).select("item_id", "title", "genres", "makers", "work"), "item_id")
-    cand = cand.join(r.select("profile_id", "item_id"), ["profile_id", "item_id"], "left_anti")
-    cand = cand.join(liked.select("profile_id", F.col("anchor_id").alias("item_id")), ["profile_id", "item_id"], "left_anti")
+    near = neighbours(s, d, medium, liked, pool).join(_narrowed(cat, floor, years, language).select("item_id"), "item_id", "left_semi")
+    cand = split_join(liked, near, ["anchor_id"], ["profile_id"]).select("profile_id", "anchor_order", "anchor_id", "item_id", "sim")
+    taken = r.select("profile_id", "item_id").unionByName(liked.select("profile_id", F.col("anchor_id").alias("item_id"))).distinct()
+    cand = cut(cand.join(taken, ["profile_id", "item_id"], "left_anti"))
     return cand if known_makers else _without_known_makers(cand, r, cat)
 
 
@@ -77,16 +78,18 @@ def with_score(s: SparkSession, d: str, medium: str, cand: DataFrame, penalty: f
     if genre_weight:
         w = rated(s, d, medium).join(cat.select("item_id", F.explode("genres").alias("genre")), "item_id").groupBy("profile_id", "genre").agg(F.sum(F.col("rating") - 3).alias("w"))
         length = w.groupBy("profile_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("pn"))
-        items = cand.select("profile_id", "item_id", F.size("genres").alias("g"), F.explode("genres").alias("genre")).distinct()
-        cos = items.join(w, ["profile_id", "genre"], "left").groupBy("profile_id", "item_id", "g").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("in_common"))
+        genres = cat.select("item_id", F.size("genres").alias("g"), F.explode("genres").alias("genre"))
+        cos = cand.select("profile_id", "item_id").distinct().join(genres, "item_id").join(w, ["profile_id", "genre"], "left")
+        cos = cos.groupBy("profile_id", "item_id", "g").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("in_common"))
         cos = cos.join(length, "profile_id").where("pn > 0").select("profile_id", "item_id", (F.col("in_common") / (F.col("pn") * F.sqrt("g"))).alias("cos"))
         cand = cand.join(cos, ["profile_id", "item_id"], "left")
         score = F.when(F.col("cos").isNotNull(), (1 - genre_weight) * score + genre_weight * F.col("cos")).otherwise(score)
     if penalty:
-        cand = cand.join(cat.select(F.col("item_id").alias("anchor_id"), F.col("title").alias("_anchor")), "anchor_id", "left")
-        alike = F.arrays_overlap(X.title_tokens(F.col("title"), STOP), X.title_tokens(F.coalesce("_anchor", F.lit("")), STOP))
+        words = cat.select("item_id", X.title_tokens(F.col("title"), STOP).alias("_words"))
+        cand = cand.join(words, "item_id", "left").join(words.toDF("anchor_id", "_anchor"), "anchor_id", "left")
+        alike = F.arrays_overlap("_words", "_anchor")
         score = score - F.when(alike, penalty).otherwise(0.0)
-    return cand.withColumn("score", F.round(score, 9)).drop("cos", "_anchor")
+    return cand.withColumn("score", F.round(score, 9)).drop("cos", "_words", "_anchor")
 
 
 def recommend(s: SparkSession, d: str, medium: str, liked: DataFrame | None = None, pool: int = 100, floor: int = 0, years: tuple = (None, None), language: str | None = None,
@@ -94,7 +97,9 @@ def recommend(s: SparkSession, d: str, medium: str, liked: DataFrame | None = No
     """(profile_id, pick_no, item_id, anchor_id): the picks of every profile, liked items taking turns."""
     cand = candidates(s, d, medium, liked, pool, floor, years, language, known_makers)
     cand = with_score(s, d, medium, cand, penalty, genre_weight)
-    return round_robin(cand if one_per_work else cand.withColumn("work", F.lit(None).cast("string")), per, n)
+    if one_per_work:
+        return round_robin(cand.join(catalogue(s, d, medium).select("item_id", "work"), "item_id"), per, n)
+    return round_robin(cand.withColumn("work", F.lit(None).cast("string")), per, n)
 
 
 def resolved(s: SparkSession, d: str, medium: str, profile: int, titles: list[str], each: bool) -> DataFrame:
@@ -156,7 +161,7 @@ def search_catalog_semantic(s: SparkSession, d: str, medium: str, profile: int,
     anchor = s.createDataFrame([(profile, 0.0, like)], "profile_id bigint, anchor_order double, anchor_id string")
     cand = candidates(s, d, medium, anchor, pool, floor, known_makers=False)
     work = F.coalesce(F.concat(F.lit("w"), "work"), F.concat(F.lit("i"), "item_id"))
-    one = keep_one(cand.withColumn("_w", work), ["_w"], [F.desc("sim"), "item_id"])
+    one = keep_one(cand.join(catalogue(s, d, medium).select("item_id", "work"), "item_id").withColumn("_w", work), ["_w"], [F.desc("sim"), "item_id"])
     one = one.join(_narrowed(catalogue(s, d, medium), floor, years, language).select("item_id"), "item_id", "left_semi")
     return top_per_group(one, ["profile_id"], [F.desc("sim"), "item_id"], limit).select("item_id", "sim", "rk")
 
