@@ -78,8 +78,11 @@ def search_tiered(s, d):
 
 
 def search_fuzzy(s, d):
-    q = s.createDataFrame([("the gildd railwy",), ("ledgr and the ship",)], "query string")
-    return tiered(catalogue(s, d, "film"), q, "item_id", "title", "popularity", 10, fuzzy=True)
+    """The most popular film's title with two letters left out, and a title that nothing is like."""
+    cat = catalogue(s, d, "film")
+    title = cat.where("length(title) >= 12").agg(F.max_by("title", F.struct("popularity", "item_id")).alias("t")).first().t or ""
+    q = s.createDataFrame([(title[:2] + title[3:8] + title[9:],), ("qqqq zzzz",)], "query string")
+    return tiered(cat, q, "item_id", "title", "popularity", 10, fuzzy=True)
 
 
 WANTED = (("The Upright Fabel", "T. Hiwis"), ("carnival of pifuwage", None), ("A Memoir Stuhehufa", "Defert Guwum"), ("Nothing Like This At All", None))
