@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from kinolex.functions import text as X
 from kinolex.operators.knn import as_vectors, dot, exact_topk, norm, weighted_vector
+from kinolex.operators.pools import Lists, about, by_slices, groups, half_up, store_lists
 from kinolex.operators.relational import top_per_group
 from kinolex.operators.skew import split_join
 from kinolex.plans.adapters import ITEMS, PROF, TAGS, VECS, with_
 from kinolex.plans.agg_queries import _TP, _weights, tag_profile
 from kinolex.plans import tools as T
+from kinolex.session import compact, stored
 from kinolex.sources.catalogues import unit_vectors
 from kinolex.sources.tables import items, ratings, tags_long, vec_items
 
@@ -110,17 +115,62 @@ def tag_cosine_topk(s, d, seeds=FIRST):
     return tag_neighbours(s, d, F.expr(seeds.format("item_id"))).select("item_id", "other_id", F.round("cos", 6).alias("cos"), "rk")
 
 
+def _reranked(lists: str, tagged: str):
+    """(profile_id, item_id, adj_sim) of a slice of profiles from its ratings; see tag_rerank."""
+
+    def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        profile, item, stars = t.column("profile_id"), t.column("item_id").to_numpy(), t.column("rating").to_numpy()
+        likes = stars >= 3.5
+        near = Lists(lists, np.unique(item[likes]))
+        items = np.unique(np.concatenate([near.items, item]))
+        local = np.searchsorted(items, near.items)
+        tags = about(tagged, "item_id", items)
+        whose = np.searchsorted(items, tags.column("item_id").to_numpy()) if tags.num_rows else np.zeros(0, np.int64)
+        names, code = np.unique(tags.column("tag").to_numpy().astype(str), return_inverse=True) if tags.num_rows else (np.zeros(0, str), whose)
+        score = tags.column("score").to_numpy() if tags.num_rows else np.zeros(0)
+        order = np.argsort(whose, kind="stable")
+        whose, code, score = whose[order], code[order], score[order]
+        start = np.searchsorted(whose, np.arange(len(items) + 1))
+        tn = np.sqrt(np.bincount(whose, score * score, len(items)))
+
+        def tags_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            n = start[at + 1] - start[at]
+            return np.repeat(np.arange(len(at)), n), np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+        best, known = np.full(len(items), -np.inf), np.zeros(len(items), bool)
+        for g in groups(profile):
+            own, p = item[g], profile[g.start].as_py()
+            at, liked = np.searchsorted(items, own), likes[g]
+            _, pool = near.rows(own[liked])
+            if not len(pool):
+                continue
+            seen = local[pool]
+            np.maximum.at(best, seen, near.sims[pool])
+            known[at] = p is not None
+            some = np.flatnonzero((best > -np.inf) & ~known)
+            of, tag = tags_of(at[liked])
+            rated = stars[g][liked]
+            total = rated[np.unique(of)].sum()
+            weight = np.bincount(code[tag], rated[of] * score[tag], len(names)) / total if p is not None and total else np.zeros(len(names))
+            pn = np.sqrt((weight * weight).sum())
+            sim, length = best[some], tn[some]
+            mixed = (pn > 0) & (length > 0)
+            of, tag = tags_of(some)
+            cos = np.divide(np.bincount(of, score[tag] * weight[code[tag]], len(some)), pn * length, out=np.zeros(len(some)), where=mixed)
+            adj = half_up(np.where(mixed, 0.7 * sim + 0.3 * cos, sim), 6)
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()).take(pa.array(np.zeros(len(some), np.int32))), pa.array(items[some], pa.int64()), pa.array(adj)], names=["profile_id", "item_id", "adj_sim"])
+            best[seen], known[at] = -np.inf, False
+
+    return run
+
+
 def tag_rerank(s, d):
     """Best candidates of each profile with 0.3 of the score from the cosine of tags, where an item has tags."""
-    t, p = tags_long(s, d), tag_profile(s, d)
-    pn = p.groupBy("profile_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("pn"))
-    tn = t.groupBy("item_id").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("tn"))
-    best = unrated(anchors_near(s, d), s, d).groupBy("profile_id", "item_id").agg(F.max("sim").alias("sim"))
-    shared = best.join(t, "item_id").join(p, ["profile_id", "tag"]).groupBy("profile_id", "item_id").agg(F.sum(F.col("score") * F.col("weight")).alias("in_common"))
-    all_ = best.join(shared, ["profile_id", "item_id"], "left").join(pn, "profile_id", "left").join(tn, "item_id", "left")
-    cos = F.coalesce("in_common", F.lit(0.0)) / (F.col("pn") * F.col("tn"))
-    adj = F.when((F.col("pn") > 0) & (F.col("tn") > 0), 0.7 * F.col("sim") + 0.3 * cos).otherwise(F.col("sim"))
-    return all_.select("profile_id", "item_id", F.round(adj, 6).alias("adj_sim"))
+    l = liked(s, d).select(F.col("anchor_id").alias("id")).distinct()
+    lists = store_lists(exact_topk(corpus(s, d), corpus(s, d).join(l, "id", "left_semi"), POOL), "query_id")
+    tagged = stored(tags_long(s, d))
+    r = compact(ratings(s, d).where("item_id is not null").select(F.col("profile_id").cast("bigint").alias("profile_id"), "item_id", "rating"))
+    return by_slices(r, "profile_id", _reranked(lists, tagged), "profile_id bigint, item_id bigint, adj_sim double")
 
 
 def tag_search_pos_neg(s, d):

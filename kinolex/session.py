@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.fs as pafs
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +33,48 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints that nothing refers to any more, without waiting for the driver's memory to fill."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def stored(df: DataFrame) -> str:
+    """The folder, among the checkpoints, of ``df`` written as compressed columns; its shuffles are freed. It goes with the session."""
+    spark = df.sparkSession
+    checkpoint_ready(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    free(spark)
+    return path
+
+
+def drop_stored(spark: SparkSession, path: str) -> None:
+    """Delete what ``stored`` has written; nothing may read it afterwards."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """As ``cut``, but in compressed columns, which take a fraction of the disk."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df))
+
+
+def stored_batches(path: str, columns: list[str], rows: int) -> Iterator[pa.RecordBatch]:
+    """What ``stored`` has written, read by a Python worker in the same order each time."""
+    if path.startswith("file:"):
+        fs, at = pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    elif "://" in path:
+        fs, at = pafs.FileSystem.from_uri(path)
+    else:
+        fs, at = pafs.LocalFileSystem(), path
+    files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(at)) if f.path.endswith(".parquet"))
+    for f in files:
+        yield from ds.dataset(f, filesystem=fs, format="parquet").to_batches(columns=columns, batch_size=rows, batch_readahead=1, fragment_readahead=1, use_threads=False)
+
+
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """More partitions for CPU-heavy Python work on small files; to be called on a scan with filters and projections only.
 
