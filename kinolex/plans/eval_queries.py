@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinolex.functions import text as X
 from kinolex.operators.knn import exact_topk
-from kinolex.operators.rank import round_robin
+from kinolex.operators.pools import Lists, about, by_slices, groups, half_up, store_lists
+from kinolex.operators.rank import _Fold
 from kinolex.operators.relational import percent_rank_average, top_per_group
 from kinolex.plans.adapters import ITEMS, PROF, TAGS, VECS, with_
 from kinolex.plans.vector_queries import _ANCH, _NEAR, FIRST, POOL, anchors_near, corpus, every_50, every_50_sql, tag_neighbours
 from kinolex.operators.skew import split_join
 from kinolex.plans.tools import STOP, neighbours, sql_near, sql_with
-from kinolex.session import cut
+from kinolex.session import compact, stored
 from kinolex.sources.catalogues import catalogue, rated, unit_vectors
 from kinolex.sources.tables import items, ratings
 
@@ -85,7 +89,7 @@ def _films(s, d):
     w = Window.partitionBy("profile_id")
     r = rated(s, d, "film").join(unit_vectors(s, d, "film").select("item_id"), "item_id", "left_semi").join(catalogue(s, d, "film").select("item_id", "popularity"), "item_id")
     r = r.withColumn("at", F.row_number().over(w.orderBy(_order("profile_id", "item_id"), "item_id"))).withColumn("n", F.count("*").over(w))
-    r = cut(r.withColumn("is_test", F.col("at") <= F.greatest(F.lit(1), F.round(F.col("n") * 0.2).cast("int"))))
+    r = compact(r.withColumn("is_test", F.col("at") <= F.greatest(F.lit(1), F.round(F.col("n") * 0.2).cast("int"))))
     train = r.where("not is_test").select("profile_id", "item_id", "rating")
     likes = train.where(F.col("rating") >= LIKE)
     relevant = r.where(f"is_test and rating >= 4 and popularity >= {FLOOR}").select("profile_id", "item_id").join(likes.select("profile_id").distinct(), "profile_id", "left_semi")
@@ -136,52 +140,221 @@ def eval_summary(s, d):
     return long.groupBy("metric", "method").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("x") / F.sqrt(n), F.lit(0.0)), 6).alias("stderr"))
 
 
+def _folded(s, d, signed, fold, schema):
+    """``fold`` of the films' neighbour lists, what is known of films, and the ratings of a slice of profiles; ids are vec_ids.
+
+    Ratings have is_test and, for what counts, is_relevant. Lists hold all neighbours, whatever their popularity.
+    """
+    train, relevant, likes = _films(s, d)
+    anchors = train.where(F.col("rating") != 3) if signed else likes
+    v = unit_vectors(s, d, "film")
+    q = v.join(anchors.select("item_id").distinct(), "item_id", "left_semi")
+    ids = lambda df: df.select(F.col("vec_id").alias("id"), "v")
+    lists = store_lists(exact_topk(ids(v), ids(q), POOL, digits=9), "query_id")
+    cat = catalogue(s, d, "film").select("item_id", "popularity", "genres", X.title_tokens(F.col("title"), STOP).alias("words"))
+    names = v.select("item_id", "vec_id")
+    films = stored(names.join(cat, "item_id"))
+    r = train.select("profile_id", "item_id", "rating", F.lit(False).alias("is_relevant"))
+    r = r.unionByName(relevant.select("profile_id", "item_id", F.lit(0.0).alias("rating"), F.lit(True).alias("is_relevant"))).join(names, "item_id")
+    return by_slices(compact(r.select("profile_id", "vec_id", "rating", "is_relevant")), "profile_id", fold(lists, films), schema)
+
+
+class _Slice:
+    """A slice of profiles with the lists of their anchors; items are numbers in the order of their item_id."""
+
+    def __init__(self, t, lists, films, is_anchor):
+        vec, self.stars, self.relevant = t.column("vec_id").to_numpy(), t.column("rating").to_numpy(), t.column("is_relevant").to_numpy(zero_copy_only=False)
+        self.anchor = ~self.relevant & is_anchor(self.stars)
+        self.near = Lists(lists, np.unique(vec[self.anchor]))
+        known = about(films, "vec_id", np.unique(np.concatenate([self.near.items, vec])))
+        known = known.take(pc.sort_indices(known.column("item_id"))) if known.num_rows else known
+        ids = known.column("vec_id").to_numpy() if known.num_rows else np.zeros(0, np.int64)
+        self.vec, by = vec, np.argsort(ids)
+        place = lambda x: by[np.minimum(np.searchsorted(ids[by], x), max(0, len(ids) - 1))] if len(ids) else np.zeros(len(x), int)
+        met = lambda x: ids[place(x)] == x if len(ids) else np.zeros(len(x), bool)
+        self.item, self.of_list = place(vec), place(self.near.items)
+        self.listed = met(self.near.items)  # neighbours that are in the catalogue
+        self.size = len(ids)
+        self.popularity = known.column("popularity").to_numpy() if len(ids) else np.zeros(0)
+        self.genre_start, self.genre = self._lists(known, "genres")
+        self.word_start, self.word = self._lists(known, "words")
+        self.groups = groups(t.column("profile_id"))
+        self.profile = t.column("profile_id")
+
+    def offered(self, floor):
+        """Whether each neighbour is a film of the catalogue and popular enough."""
+        return self.listed & (self.popularity[self.of_list] >= floor) if self.size else self.listed
+
+    def pools(self, own, offered, known):
+        """(place among the anchors, place in the lists) of what the anchors of a profile offer that it doesn't know. known: room for marks."""
+        at, pool = self.near.rows(self.vec[own][self.anchor[own]])
+        mine = self.item[own][~self.relevant[own]]
+        known[mine] = True
+        some = offered[pool] & ~known[self.of_list[pool]]
+        known[mine] = False
+        return at[some], pool[some]
+
+    def alike(self):
+        """Whether each neighbour shares a word of its title with the anchor."""
+        out, mark = np.zeros(len(self.of_list), bool), np.zeros(int(self.word.max(initial=-1)) + 1, bool)
+        anchors = dict(zip(self.vec[self.anchor].tolist(), self.item[self.anchor].tolist()))
+        for k, key in enumerate(self.near.key.tolist()):
+            at = slice(self.near.start[k], self.near.start[k + 1])
+            mine = self.word[self.word_start[anchors[key]] : self.word_start[anchors[key] + 1]]
+            mark[mine] = True
+            of, place = self.listed_of(self.word_start, self.of_list[at])
+            out[at] = np.bincount(of, mark[self.word[place]], at.stop - at.start) > 0
+            mark[mine] = False
+        return out
+
+    @staticmethod
+    def _lists(known, column):
+        if not known.num_rows:
+            return np.zeros(1, int), np.zeros(0, int)
+        lists = known.column(column).combine_chunks()
+        code = lists.flatten().dictionary_encode().indices.to_numpy()
+        return np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy())], code
+
+    @staticmethod
+    def listed_of(start, at):
+        """(place in at, place in the codes) of the lists of some items."""
+        n = start[at + 1] - start[at]
+        return np.repeat(np.arange(len(at)), n), np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _recall(ranks):
+    """Recall at 10, 20 and 50 and hit at 20 from the ranks of the relevant items (inf: not ranked)."""
+    at = lambda k: float(half_up(np.array((ranks <= k).mean()), 6))
+    return at(10), at(20), at(50), int((ranks <= 20).any())
+
+
+def _batch(rows, names, kinds):
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+
+def _best_of(item, score):
+    """(item, best score, second best or 0) of each distinct item, in the items' order."""
+    order = np.lexsort((-score, item))
+    item, score = item[order], score[order]
+    first = np.flatnonzero(np.r_[True, item[1:] != item[:-1]]) if len(item) else np.zeros(0, np.int64)
+    second, two = np.zeros(len(first)), first + 1 < np.r_[first[1:], len(item)] if len(item) else np.zeros(0, bool)
+    second[two] = score[first[two] + 1]
+    return item[first], score[first], second
+
+
+def _ranks(base, score, wanted):
+    """Rank of each wanted item among the items of base (sorted) by each row of scores, ties to the smaller; inf where it isn't among them."""
+    if not len(base):
+        return np.full((len(score), len(wanted)), np.inf)
+    spot = np.minimum(np.searchsorted(base, wanted), len(base) - 1)
+    mine, ahead = score[:, spot][:, :, None], score[:, None, :]
+    ahead = (ahead > mine) | ((ahead == mine) & (base < base[spot][:, None])[None])
+    return np.where(base[spot] == wanted, ahead.sum(2) + 1, np.inf)
+
+
+def _tuned(lists, films):
+    """(config, profile_id, r20, any): recall of profiles with relevant items (else null), and whether there are candidates; see eval_tune."""
+    c, g, tag = (np.array(x)[:, None] for x in zip(*GRID))
+    names = [f"cross={c} neg={g} tag={t}" for c, g, t in GRID]
+    kinds = [pa.string(), pa.int64(), pa.float64(), pa.bool_()]
+
+    def run(t):
+        z = _Slice(t, lists, films, lambda stars: stars != 3)
+        known, down, weight = np.zeros(z.size, bool), np.zeros(z.size), np.zeros(int(z.genre.max(initial=-1)) + 1)
+        offered = z.offered(FLOOR)
+        for own in z.groups:
+            item, stars, rel, anchor = z.item[own], z.stars[own], z.relevant[own], z.anchor[own]
+            at, pool = z.pools(own, offered, known)
+            i, by = z.of_list[pool], stars[anchor][at]
+            pull = half_up((by - 3) * z.near.sims[pool] / 2, 9)
+            base, up1, up2 = _best_of(i[by > 3], pull[by > 3])
+            rank = None
+            if rel.any():
+                np.maximum.at(down, i[by < 3], -pull[by < 3])
+                push = down[base]
+                down[i] = 0.0
+                of, place = z.listed_of(z.genre_start, item[~rel])
+                np.add.at(weight, z.genre[place], stars[~rel][of] - 3)
+                length, cos = np.sqrt((weight * weight).sum()), np.zeros(len(base))
+                of, codes = z.listed_of(z.genre_start, base)
+                n = np.bincount(of, minlength=len(base))
+                if length > 0:
+                    cos[n > 0] = half_up(np.bincount(of, weight[z.genre[codes]], len(base))[n > 0] / (length * np.sqrt(n[n > 0])), 9)
+                weight[z.genre[place]] = 0.0
+                rank = _ranks(base, half_up((1 - tag) * (up1 + c * up2 - g * push) + tag * cos, 9), item[rel])
+            if rel.any() or len(base):
+                p = z.profile[own.start].as_py()
+                yield _batch([(n, p, None if rank is None else _recall(rank[k])[1], len(base) > 0) for k, n in enumerate(names)], ["config", "profile_id", "r20", "any"], kinds)
+
+    return run
+
+
 def eval_tune(s, d):
     """Recall at 20 of 18 settings of a signed ranking on half of the profiles; the best, and the default, on the other half, too.
 
     Two best pulls (the second by cross), less the strongest push (by neg), mixed with the cosine of genres (by tag).
     All settings are scored in one job from the same four numbers per profile and item.
     """
-    train, relevant, _ = _films(s, d)
-    near = _offers(s, d, train, signed=True).withColumn("pull", F.round((F.col("rating") - 3) * F.col("sim") / 2, 9))
-    w = Window.partitionBy("profile_id", "item_id").orderBy(F.desc("pull"), "anchor_id")
-    up = near.where("rating > 3").withColumn("at", F.row_number().over(w)).where("at <= 2").groupBy("profile_id", "item_id").agg(F.max(F.when(F.col("at") == 1, F.col("pull"))).alias("up1"), F.coalesce(F.max(F.when(F.col("at") == 2, F.col("pull"))), F.lit(0.0)).alias("up2"))
-    down = near.where("rating < 3").groupBy("profile_id", "item_id").agg(F.greatest(F.max(-F.col("pull")), F.lit(0.0)).alias("down"))
-    base = up.join(down, ["profile_id", "item_id"], "left").fillna(0.0, ["down"])
-    genres = catalogue(s, d, "film").select("item_id", F.explode("genres").alias("genre"))
-    weight = train.join(genres, "item_id").groupBy("profile_id", "genre").agg(F.sum(F.col("rating") - 3).alias("w"))
-    length = weight.groupBy("profile_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("pn")).where("pn > 0")
-    cos = base.select("profile_id", "item_id").join(genres, "item_id").join(weight, ["profile_id", "genre"], "left").groupBy("profile_id", "item_id").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("c"), F.count("*").alias("g"))
-    cos = cos.join(length, "profile_id").select("profile_id", "item_id", F.round(F.col("c") / (F.col("pn") * F.sqrt("g")), 9).alias("cos"))
-    base = base.join(cos, ["profile_id", "item_id"], "left").fillna(0.0, ["cos"])
-    grid = F.array(*[F.struct(F.lit(f"cross={c} neg={g} tag={t}").alias("config"), F.lit(c).alias("c"), F.lit(g).alias("g"), F.lit(t).alias("t")) for c, g, t in GRID])
-    each = base.withColumn("k", F.explode(grid))
-    score = (1 - F.col("k.t")) * (F.col("up1") + F.col("k.c") * F.col("up2") - F.col("k.g") * F.col("down")) + F.col("k.t") * F.col("cos")
-    each = each.select(F.col("k.config").alias("config"), "profile_id", "item_id", F.round(score, 9).alias("score"))
-    top = top_per_group(each, ["config", "profile_id"], [F.desc("score"), "item_id"], 50).select("config", "profile_id", "item_id", "rk")
-    got = _recalls(relevant, top, ["config"]).withColumn("seen", F.substring(_order("profile_id"), 1, 1) < "8")
-    means = got.groupBy("config").agg(F.round(F.avg(F.when(F.col("seen"), F.col("r20"))), 6).alias("r20"), F.round(F.avg(F.when(~F.col("seen"), F.col("r20"))), 6).alias("unseen"))
+    got = _folded(s, d, True, _tuned, "config string, profile_id bigint, r20 double, any boolean").withColumn("seen", F.substring(_order("profile_id"), 1, 1) < "8")
+    mean = lambda c: F.round(F.avg(F.when(c, F.col("r20"))), 6)
+    means = compact(got.groupBy("config").agg(mean(F.col("seen")).alias("r20"), mean(~F.col("seen")).alias("unseen"), F.max("any").alias("any"), F.count("r20").alias("n")).where("any and n > 0"))
     best = means.agg(F.min(F.struct((-F.coalesce("r20", F.lit(-1.0))).alias("less"), "config")).getField("config").alias("best"))
     means = means.join(F.broadcast(best))  # one row
     return means.select("config", "r20", (F.col("config") == F.col("best")).alias("chosen"), F.when(F.col("config").isin(DEFAULT) | (F.col("config") == F.col("best")), F.col("unseen")).alias("r20_unseen"))
 
 
+def _ablated(lists, films):
+    """(variant, profile_id, r10, r20, r50, hit20, any) as in _tuned; see eval_ablate."""
+    kinds = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.bool_()]
+    names = ["variant", "profile_id", "r10", "r20", "r50", "hit20", "any"]
+
+    def run(t):
+        z = _Slice(t, lists, films, lambda stars: stars >= LIKE)
+        known, alike = np.zeros(z.size, bool), z.alike()
+        offered = {f: z.offered(f) for _, _, f in VARIANTS.values()}
+        score = {p: half_up(z.near.sims - np.where(alike, p, 0.0), 9) for _, p, _ in VARIANTS.values()}
+        queues = {}
+
+        def queue(anchor, p, f):
+            if (anchor, p, f) not in queues:
+                _, pool = z.near.rows(np.array([anchor]))
+                pool = pool[offered[f][pool]]
+                i = z.of_list[pool]
+                queues[anchor, p, f] = [(x, None) for x in i[np.lexsort((i, -score[p][pool]))].tolist()]
+            return queues[anchor, p, f]
+
+        for own in z.groups:
+            item, stars, rel, anchor = z.item[own], z.stars[own], z.relevant[own], z.anchor[own]
+            wanted, rows, p_id = item[rel], [], z.profile[own.start].as_py()
+            turn = np.lexsort((item[anchor], -stars[anchor]))
+            for name, (turns, p, f) in VARIANTS.items():
+                rank = None
+                _, pool = z.pools(own, offered[f], known)
+                if len(wanted) and turns:
+                    fold = _Fold(2, 50)
+                    fold.items = set(item[~rel].tolist())
+                    for a in z.vec[own][anchor][turn].tolist():
+                        if fold.full:
+                            break
+                        fold.first_turn(a, queue(a, p, f))
+                    picked = {i: k + 1 for k, (i, _) in enumerate(fold.finished())}
+                    rank = np.array([picked.get(i, np.inf) for i in wanted.tolist()])
+                elif len(wanted):
+                    base, best, _ = _best_of(z.of_list[pool], score[p][pool])
+                    rank = _ranks(base, best[None], wanted)[0]
+                if len(wanted) or len(pool):
+                    rows.append((name, p_id, *((None,) * 4 if rank is None else _recall(rank)), len(pool) > 0))
+            yield _batch(rows, names, kinds)
+
+    return run
+
+
 def eval_ablate(s, d):
     """Recall with one part of the ranking taken away at a time: turns, title penalty, popularity floor, and all three; in one job."""
-    train, relevant, _ = _films(s, d)
-    near = _offers(s, d, train, floor=0)
-    near = near.join(catalogue(s, d, "film").select(F.col("item_id").alias("anchor_id"), F.col("title").alias("seed")), "anchor_id")
-    alike = F.arrays_overlap(X.title_tokens(F.col("title"), STOP), X.title_tokens(F.col("seed"), STOP))
-    kinds = F.array(*[F.struct(F.lit(n).alias("variant"), F.lit(turns).alias("turns"), F.lit(p).alias("p"), F.lit(f).alias("f")) for n, (turns, p, f) in VARIANTS.items()])
-    each = near.withColumn("k", F.explode(kinds)).where(F.col("popularity") >= F.col("k.f"))
-    each = cut(each.select("k.variant", "k.turns", "profile_id", F.col("rating").alias("anchor_order"), "anchor_id", "item_id", F.round(F.col("sim") - F.when(alike, F.col("k.p")).otherwise(0.0), 9).alias("score")))
-    flat = each.where("not turns").groupBy("variant", "profile_id", "item_id").agg(F.max("score").alias("score"))
-    flat = top_per_group(flat, ["variant", "profile_id"], [F.desc("score"), "item_id"], 50).select("variant", "profile_id", "item_id", "rk")
-    both = each.where("turns").withColumn("profile_id", F.concat_ws("|", "profile_id", "variant")).withColumn("work", F.lit(None).cast("string"))
-    turns = round_robin(both, 2, 50).select(F.substring_index("profile_id", "|", -1).alias("variant"), F.substring_index("profile_id", "|", 1).cast("bigint").alias("profile_id"), "item_id", F.col("pick_no").alias("rk"))
-    got = _recalls(relevant, flat.unionByName(turns), ["variant"])
+    got = _folded(s, d, False, _ablated, "variant string, profile_id bigint, r10 double, r20 double, r50 double, hit20 int, any boolean")
     mean = lambda c: F.round(F.avg(c), 6).alias(c)
-    return got.groupBy("variant").agg(mean("r10"), mean("r20"), mean("r50"), mean("hit20"), F.count("*").alias("profiles"))
+    means = got.groupBy("variant").agg(mean("r10"), mean("r20"), mean("r50"), mean("hit20"), F.count("r10").alias("profiles"), F.max("any").alias("any"))
+    return means.where("any and profiles > 0").drop("any")
 
 
 def eval_neighbors(s, d, seeds=FIRST):

@@ -43,3 +43,9 @@ def test_half_up_is_sparks_round(spark):
     x = np.r_[np.arange(-2000, 2000) * 0.0123456789 / 2, 0.0617283945, -0.0617283945, np.random.default_rng(1).random(2000)]
     got = [r.y for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 9).alias("y")).collect()]
     assert got == half_up(x, 9).tolist()
+
+
+def test_eval_tune_and_ablate_shuffle_no_offers(spark):
+    for name, most in (("eval_tune", 4), ("eval_ablate", 4)):
+        n, mb = shuffled(spark, lambda: plans.QUERIES[name](spark, DATA).count())
+        assert n and mb < most, (name, n, mb)
