@@ -49,3 +49,14 @@ def test_eval_tune_and_ablate_shuffle_no_offers(spark):
     for name, most in (("eval_tune", 4), ("eval_ablate", 4)):
         n, mb = shuffled(spark, lambda: plans.QUERIES[name](spark, DATA).count())
         assert n and mb < most, (name, n, mb)
+
+
+def test_nearest_shuffles_no_asked_partitions(spark, monkeypatch):
+    import kinolex.llm.vectors as V
+
+    monkeypatch.setattr(V, "PER_PARTITION", 100)
+    x = np.random.default_rng(5).normal(size=(2000, 128)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<float>").cache()
+    df.count()
+    n, mb = shuffled(spark, lambda: V.nearest(df, "vec_id", "embedding").count())
+    assert n == 5 * 2000 and mb < 6, (n, mb)  # 1 MB of vectors, moved four times
