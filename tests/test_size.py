@@ -60,3 +60,19 @@ def test_nearest_shuffles_no_asked_partitions(spark, monkeypatch):
     df.count()
     n, mb = shuffled(spark, lambda: V.nearest(df, "vec_id", "embedding").count())
     assert n == 5 * 2000 and mb < 6, (n, mb)  # 1 MB of vectors, moved four times
+
+
+def test_bands_in_rounds_find_the_same(spark, monkeypatch):
+    from kinolex.llm import nearcopies as N
+
+    rounds = N.band_rounds(36_000_000, 1200)
+    assert [b for r in rounds for b in r] == list(range(1200)) and max(map(len, rounds)) <= N.KEYS_A_CLASS
+    words = [f"w{k}" for k in range(400)]
+    rng = np.random.default_rng(2)
+    sets = [sorted(rng.choice(words, 30, replace=False).tolist()) for _ in range(60)]
+    sets += [s[:27] + [f"x{k}"] for k, s in enumerate(sets)]
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(sets)], "id int, words array<string>")
+    run = lambda: sorted((r.rep_a, r.rep_b) for r in N.near_copies(df.selectExpr("cast(id as string) as id", "words"), "id", "words")[1].collect())
+    once = run()
+    monkeypatch.setattr(N, "PER_ROUND", 1)
+    assert len(once) >= 60 and run() == once
