@@ -57,8 +57,8 @@ def _place(row: np.ndarray) -> np.ndarray:
     return np.arange(len(row)) - np.repeat(new, np.diff(np.r_[new, len(row)]))
 
 
-def _block_top(folder: str, parts: int, k: int, skip_self: bool, digits: int | None):
-    """A block of queries against the stored corpus, or every ``parts``-th piece of it."""
+def _block_top(folder: str, parts: int, k: int, skip_self: bool, digits: int | None, lists: bool = False):
+    """A block of queries against the stored corpus, or every ``parts``-th piece of it. lists: one row a query."""
 
     def run(t: pa.Table) -> pa.Table:
         asks = t.filter(pa.compute.equal(t.column("kind"), 1))
@@ -106,16 +106,22 @@ def _block_top(folder: str, parts: int, k: int, skip_self: bool, digits: int | N
         row, item, sim = row[order], item[order], sim[order]
         rk = _place(row) + 1
         some = rk <= k
+        if lists:
+            row, item, sim = row[some], item[some], sim[some]
+            start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+            ends = pa.array(np.r_[start, len(row)], pa.int32())
+            return pa.table({"key": pa.array(row[start], pa.int64()), "items": pa.ListArray.from_arrays(ends, pa.array(item, pa.int64())), "sims": pa.ListArray.from_arrays(ends, pa.array(sim, pa.float64()))})
         return pa.table({"query_id": pa.array(row[some], pa.int64()), "item_id": pa.array(item[some], pa.int64()), "sim": pa.array(sim[some], pa.float64()), "rk": pa.array(rk[some], pa.int32())})
 
     return run
 
 
-def exact_topk(corpus: DataFrame, queries: DataFrame, k: int, skip_self: bool = False, digits: int | None = None, exclude: DataFrame | None = None) -> DataFrame:
+def exact_topk(corpus: DataFrame, queries: DataFrame, k: int, skip_self: bool = False, digits: int | None = None, exclude: DataFrame | None = None, lists: bool = False) -> DataFrame:
     """(query_id, item_id, sim, rk): the k items with the largest inner product, ties to the smaller id.
 
     ``digits``: inner products are rounded first, so that equal vectors tie whatever the order of additions.
     ``exclude``: (query_id, item_id) that don't count; they go to the blocks they concern.
+    ``lists``: (key, items, sims) instead, one row a query, as store_lists makes them, without rows in between where a block sees the whole corpus.
 
     corpus, queries: id bigint, v array of one length. The corpus is written once to the checkpoint folder; each block of
     queries reads it piece by piece and keeps its best, so no vector of the corpus is shuffled and nothing is broadcast.
@@ -136,8 +142,17 @@ def exact_topk(corpus: DataFrame, queries: DataFrame, k: int, skip_self: bool =
     rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     if nq * parts > 1:
         rows = rows.repartition(min(nq * parts, 4 * shuffle_width(rows)), "qb", "part")
+    if lists and parts == 1:
+        return rows.groupBy("qb", "part").applyInArrow(_block_top(folder, parts, k, skip_self, digits, True), "key bigint, items array<bigint>, sims array<double>")
     near = rows.groupBy("qb", "part").applyInArrow(_block_top(folder, parts, k, skip_self, digits), "query_id bigint, item_id bigint, sim double, rk int")
-    return near if parts == 1 else top_per_group(near.drop("rk"), ["query_id"], [F.desc("sim"), "item_id"], k)
+    near = near if parts == 1 else top_per_group(near.drop("rk"), ["query_id"], [F.desc("sim"), "item_id"], k)
+    return as_lists(near, "query_id") if lists else near
+
+
+def as_lists(near: DataFrame, key: str) -> DataFrame:
+    """Neighbour lists (key, items, sims) of rows (key, item_id, sim)."""
+    rows = near.groupBy(F.col(key).alias("key")).agg(F.collect_list(F.struct("item_id", "sim")).alias("l"))
+    return rows.select("key", F.col("l.item_id").alias("items"), F.col("l.sim").alias("sims"))
 
 
 def weighted_vector(rated: DataFrame, vectors: DataFrame) -> DataFrame:

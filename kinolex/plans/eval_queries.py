@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from kinolex.functions import text as X
 from kinolex.operators.knn import exact_topk
-from kinolex.operators.pools import Lists, about, by_slices, groups, half_up, store_lists
+from kinolex.operators.pools import Lists, about, by_slices, groups, half_up, keep_among
 from kinolex.operators.rank import _Fold
 from kinolex.operators.relational import percent_rank_average, top_per_group
 from kinolex.plans.adapters import ITEMS, PROF, TAGS, VECS, with_
 from kinolex.plans.vector_queries import _ANCH, _NEAR, FIRST, POOL, anchors_near, corpus, every_50, every_50_sql, tag_neighbours
 from kinolex.operators.skew import split_join
 from kinolex.plans.tools import STOP, neighbours, sql_near, sql_with
-from kinolex.session import compact, stored
+from kinolex.session import compact, stored, stored_batches
 from kinolex.sources.catalogues import catalogue, rated, unit_vectors
 from kinolex.sources.tables import items, ratings
 
@@ -81,15 +81,20 @@ DEFAULT = "cross=0.35 neg=1.0 tag=0.25"
 VARIANTS = {"full": (True, 0.15, FLOOR), "flat": (False, 0.15, FLOOR), "no title penalty": (True, 0.0, FLOOR), "no floor": (True, 0.15, 0), "flat, no penalty, no floor": (False, 0.0, 0)}
 
 
+def _held_out(r):
+    """Adds is_test: a fifth of each profile's rows."""
+    w = Window.partitionBy("profile_id")
+    r = r.withColumn("at", F.row_number().over(w.orderBy(_order("profile_id", "item_id"), "item_id"))).withColumn("n", F.count("*").over(w))
+    return r.withColumn("is_test", F.col("at") <= F.greatest(F.lit(1), F.round(F.col("n") * 0.2).cast("int")))
+
+
 def _films(s, d):
     """(train, relevant, likes): ratings of films with vectors, a fifth of each profile's held out; relevant: held out, rated 4, above the floor.
 
     Profiles that like nothing in what is left, or have nothing relevant, don't count.
     """
-    w = Window.partitionBy("profile_id")
     r = rated(s, d, "film").join(unit_vectors(s, d, "film").select("item_id"), "item_id", "left_semi").join(catalogue(s, d, "film").select("item_id", "popularity"), "item_id")
-    r = r.withColumn("at", F.row_number().over(w.orderBy(_order("profile_id", "item_id"), "item_id"))).withColumn("n", F.count("*").over(w))
-    r = compact(r.withColumn("is_test", F.col("at") <= F.greatest(F.lit(1), F.round(F.col("n") * 0.2).cast("int"))))
+    r = compact(_held_out(r))
     train = r.where("not is_test").select("profile_id", "item_id", "rating")
     likes = train.where(F.col("rating") >= LIKE)
     relevant = r.where(f"is_test and rating >= 4 and popularity >= {FLOOR}").select("profile_id", "item_id").join(likes.select("profile_id").distinct(), "profile_id", "left_semi")
@@ -140,23 +145,35 @@ def eval_summary(s, d):
     return long.groupBy("metric", "method").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("x") / F.sqrt(n), F.lit(0.0)), 6).alias("stderr"))
 
 
-def _folded(s, d, signed, fold, schema):
-    """``fold`` of the films' neighbour lists, what is known of films, and the ratings of a slice of profiles; ids are vec_ids.
+def _stored(s, d, signed):
+    """(lists, films, rows): the films' neighbour lists and what is known of films, both stored, and the ratings of them; vec_id is the key of lists.
 
-    Ratings have is_test and, for what counts, is_relevant. Lists hold all neighbours, whatever their popularity.
+    rows: what is left of each profile and, with is_relevant, what is held out and counts, as in _films. num follows the
+    order of item_id. Lists hold all neighbours, whatever their popularity. Vectors and the catalogue are made once, and
+    ratings of other films are dropped before anything is shuffled.
     """
-    train, relevant, likes = _films(s, d)
-    anchors = train.where(F.col("rating") != 3) if signed else likes
-    v = unit_vectors(s, d, "film")
-    q = v.join(anchors.select("item_id").distinct(), "item_id", "left_semi")
-    ids = lambda df: df.select(F.col("vec_id").alias("id"), "v")
-    lists = store_lists(exact_topk(ids(v), ids(q), POOL, digits=9), "query_id")
+    v = compact(unit_vectors(s, d, "film"))
     cat = catalogue(s, d, "film").select("item_id", "popularity", "genres", X.title_tokens(F.col("title"), STOP).alias("words"))
-    names = v.select("item_id", "vec_id")
-    films = stored(names.join(cat, "item_id"))
-    r = train.select("profile_id", "item_id", "rating", F.lit(False).alias("is_relevant"))
-    r = r.unionByName(relevant.select("profile_id", "item_id", F.lit(0.0).alias("rating"), F.lit(True).alias("is_relevant"))).join(names, "item_id")
-    return by_slices(compact(r.select("profile_id", "vec_id", "rating", "is_relevant")), "profile_id", fold(lists, films), schema)
+    films = v.select("item_id", "vec_id").join(cat, "item_id").orderBy("item_id").withColumn("num", F.monotonically_increasing_id())
+    films = stored(films.withColumn("movie_id", F.col("item_id").try_cast("bigint")))
+    known = s.read.parquet(films).select("item_id", "vec_id", "num", "popularity")
+    r = _held_out(rated(s, d, "film", lambda t: keep_among(t, "movie_id", films, "movie_id")).join(known, "item_id"))
+    likes = F.max(~F.col("is_test") & (F.col("rating") >= LIKE)).over(Window.partitionBy("profile_id"))
+    r = r.withColumn("is_relevant", F.col("is_test") & (F.col("rating") >= 4) & (F.col("popularity") >= FLOOR) & likes)
+    r = compact(r.where("is_relevant or not is_test").select("profile_id", "item_id", "vec_id", "num", "rating", "is_relevant"))
+    anchors = r.where(~F.col("is_relevant") & (F.col("rating") != 3 if signed else F.col("rating") >= LIKE)).select("item_id").distinct()
+    ids = lambda df: df.select(F.col("vec_id").alias("id"), "v")
+    lists = stored(exact_topk(ids(v), ids(v.join(anchors, "item_id", "left_semi")), POOL, digits=9, lists=True))
+    return lists, films, r.drop("item_id")
+
+
+def _coded(known, column):
+    """(start, codes) of a column of lists of texts."""
+    if not known.num_rows:
+        return np.zeros(1, int), np.zeros(0, int)
+    lists = known.column(column).combine_chunks()
+    code = lists.flatten().dictionary_encode().indices.to_numpy()
+    return np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy())], code
 
 
 class _Slice:
@@ -176,8 +193,7 @@ class _Slice:
         self.listed = met(self.near.items)  # neighbours that are in the catalogue
         self.size = len(ids)
         self.popularity = known.column("popularity").to_numpy() if len(ids) else np.zeros(0)
-        self.genre_start, self.genre = self._lists(known, "genres")
-        self.word_start, self.word = self._lists(known, "words")
+        self.genre_start, self.genre = _coded(known, "genres")
         self.groups = groups(t.column("profile_id"))
         self.profile = t.column("profile_id")
 
@@ -194,27 +210,6 @@ class _Slice:
         known[mine] = False
         return at[some], pool[some]
 
-    def alike(self):
-        """Whether each neighbour shares a word of its title with the anchor."""
-        out, mark = np.zeros(len(self.of_list), bool), np.zeros(int(self.word.max(initial=-1)) + 1, bool)
-        anchors = dict(zip(self.vec[self.anchor].tolist(), self.item[self.anchor].tolist()))
-        for k, key in enumerate(self.near.key.tolist()):
-            at = slice(self.near.start[k], self.near.start[k + 1])
-            mine = self.word[self.word_start[anchors[key]] : self.word_start[anchors[key] + 1]]
-            mark[mine] = True
-            of, place = self.listed_of(self.word_start, self.of_list[at])
-            out[at] = np.bincount(of, mark[self.word[place]], at.stop - at.start) > 0
-            mark[mine] = False
-        return out
-
-    @staticmethod
-    def _lists(known, column):
-        if not known.num_rows:
-            return np.zeros(1, int), np.zeros(0, int)
-        lists = known.column(column).combine_chunks()
-        code = lists.flatten().dictionary_encode().indices.to_numpy()
-        return np.r_[0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy())], code
-
     @staticmethod
     def listed_of(start, at):
         """(place in at, place in the codes) of the lists of some items."""
@@ -295,7 +290,8 @@ def eval_tune(s, d):
     Two best pulls (the second by cross), less the strongest push (by neg), mixed with the cosine of genres (by tag).
     All settings are scored in one job from the same four numbers per profile and item.
     """
-    got = _folded(s, d, True, _tuned, "config string, profile_id bigint, r20 double, any boolean").withColumn("seen", F.substring(_order("profile_id"), 1, 1) < "8")
+    lists, films, r = _stored(s, d, True)
+    got = by_slices(r, "profile_id", _tuned(lists, films), "config string, profile_id bigint, r20 double, any boolean").withColumn("seen", F.substring(_order("profile_id"), 1, 1) < "8")
     mean = lambda c: F.round(F.avg(F.when(c, F.col("r20"))), 6)
     means = compact(got.groupBy("config").agg(mean(F.col("seen")).alias("r20"), mean(~F.col("seen")).alias("unseen"), F.max("any").alias("any"), F.count("r20").alias("n")).where("any and n > 0"))
     best = means.agg(F.min(F.struct((-F.coalesce("r20", F.lit(-1.0))).alias("less"), "config")).getField("config").alias("best"))
@@ -303,55 +299,165 @@ def eval_tune(s, d):
     return means.select("config", "r20", (F.col("config") == F.col("best")).alias("chosen"), F.when(F.col("config").isin(DEFAULT) | (F.col("config") == F.col("best")), F.col("unseen")).alias("r20_unseen"))
 
 
-def _ablated(lists, films):
-    """(variant, profile_id, r10, r20, r50, hit20, any) as in _tuned; see eval_ablate."""
-    kinds = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.bool_()]
-    names = ["variant", "profile_id", "r10", "r20", "r50", "hit20", "any"]
+FLOORS = sorted({f for _, _, f in VARIANTS.values()})
+ALIKE = len(FLOORS)  # the bit of kinds behind those of the floors
+UNIT = 10**9  # similarities have nine decimals
+LISTED = "key bigint, items array<bigint>, sims array<int>, kinds array<tinyint>"
+# rows of a slice: little but the lists of a slice is held, and every slice reads all lists
+ABLATED = 80_000
+
+
+def _kinds(films):
+    """Lists by num, ascending, of what the catalogue holds, with sims in billionths; kinds: bits for each floor reached, and for a word shared with the anchor's title."""
+
+    def run(batches):
+        known = pa.Table.from_batches(list(stored_batches(films, ["vec_id", "num", "popularity", "words"], 65_536)))
+        vec, num, popularity = (known.column(c).to_numpy() for c in ("vec_id", "num", "popularity"))
+        by, (start, word) = np.argsort(vec, kind="stable"), _coded(known, "words")
+        mark = np.zeros(int(word.max(initial=-1)) + 1, bool)
+        bits = sum(((popularity >= f).astype(np.int8) << k for k, f in enumerate(FLOORS)), np.zeros(len(vec), np.int8))
+
+        def place(x):
+            at = by[np.minimum(np.searchsorted(vec, x, sorter=by), len(vec) - 1)]
+            return at, vec[at] == x
+
+        for b in batches:
+            if not len(vec):
+                break
+            at, there = place(b.column("key").to_numpy())
+            b, at = b.filter(pa.array(there)), at[there]
+            of = np.repeat(np.arange(len(at)), b.column("items").value_lengths().to_numpy())
+            item, there = place(b.column("items").flatten().to_numpy())
+            of, item, sim = of[there], item[there], np.rint(b.column("sims").flatten().to_numpy()[there] * UNIT).astype(np.int32)
+            order = np.lexsort((num[item], of))
+            of, item, sim = of[order], item[order], sim[order]
+            ends, alike = np.searchsorted(of, np.arange(len(at) + 1)), np.zeros(len(item), bool)
+            n = start[item + 1] - start[item]
+            flat = np.repeat(start[item] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            words, whose, first = word[flat], np.repeat(np.arange(len(item)), n), np.r_[0, np.cumsum(n)]
+            for k, a in enumerate(at):
+                mine, some = word[start[a] : start[a + 1]], slice(first[ends[k]], first[ends[k + 1]])
+                mark[mine] = True
+                alike[whose[some][mark[words[some]]]] = True
+                mark[mine] = False
+            made = lambda x, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind))
+            yield pa.RecordBatch.from_arrays([pa.array(num[at]), made(num[item], pa.int64()), made(sim, pa.int32()), made(bits[item] | (alike.astype(np.int8) << ALIKE), pa.int8())], names=["key", "items", "sims", "kinds"])
+
+    return run
+
+
+def _met(near, anchors, wanted, of_anchor, of_wanted, profiles):
+    """Whether each profile has a wanted item in a list of its anchors. of_*: the profile of each, ascending."""
+    met = np.bincount(of_wanted, minlength=profiles) > POOL  # too many pairs; these are looked at closely anyway
+    some = ~met[of_wanted]
+    wanted, of_wanted = wanted[some], of_wanted[some]
+    items, code = np.unique(near.items, return_inverse=True)
+    if not len(items):
+        return met
+    pairs = np.repeat(np.arange(len(near.n)), near.n) * len(items) + code  # ascending, as each list is
+    first = np.searchsorted(of_anchor, np.arange(profiles + 1))
+    n = np.diff(first)[of_wanted]
+    list_of, (at, place) = np.full(len(anchors), -1), near.lists(anchors)
+    list_of[at] = place
+    code = np.minimum(np.searchsorted(items, wanted), len(items) - 1)
+    code = np.where(items[code] == wanted, code, -1)
+    for lo in range(0, len(wanted), 20_000):
+        m = n[lo : lo + 20_000]
+        of = np.repeat(np.arange(lo, lo + len(m)), m)
+        anchor = list_of[np.repeat(first[of_wanted[lo : lo + len(m)]] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+        ask = anchor * len(items) + code[of]
+        there = (anchor >= 0) & (code[of] >= 0) & (pairs[np.minimum(np.searchsorted(pairs, ask), len(pairs) - 1)] == ask)
+        met[of_wanted[of[there]]] = True
+    return met
+
+
+def _ablated(lists):
+    """(variant, profile_id, r10, r20, r50, hit20, any) of profiles with relevant items; any: whether the slice has candidates. See eval_ablate.
+
+    A relevant item that no anchor's list holds has no rank in any variant; so only profiles with one that is held are ranked.
+    """
 
     def run(t):
-        z = _Slice(t, lists, films, lambda stars: stars >= LIKE)
-        known, alike = np.zeros(z.size, bool), z.alike()
-        offered = {f: z.offered(f) for _, _, f in VARIANTS.values()}
-        score = {p: half_up(z.near.sims - np.where(alike, p, 0.0), 9) for _, p, _ in VARIANTS.values()}
+        num, stars, relevant = t.column("num").to_numpy(), t.column("rating").to_numpy(), t.column("is_relevant").to_numpy(zero_copy_only=False)
+        own = groups(t.column("profile_id"))
+        of = np.repeat(np.arange(len(own)), [g.stop - g.start for g in own])
+        asks, anchor = np.bincount(of[relevant], minlength=len(own)) > 0, ~relevant & (stars >= LIKE)
+        mine = anchor & asks[of]
+        near = Lists(lists, np.unique(num[mine]), "kinds")
+        met = _met(near, num[mine], num[relevant], of[mine], of[relevant], len(own))
+
+        def pool(near, g):
+            """Places in the lists of what the anchors of a profile offer that it doesn't know."""
+            _, at = near.rows(num[g][anchor[g]])
+            return at[~np.isin(near.items[at], num[g][~relevant[g]])]
+
+        def any_of(near, some):
+            """Bits of the floors that have a candidate in some profiles."""
+            bits, every = 0, (1 << ALIKE) - 1
+            for k in some:
+                bits |= int(np.bitwise_or.reduce(near.kinds[pool(near, own[k])], initial=0)) & every
+                if bits == every:
+                    break
+            return bits
+
+        bits = any_of(near, np.flatnonzero(asks))
+        if bits != (1 << ALIKE) - 1 and (anchor & ~asks[of]).any():
+            bits |= any_of(Lists(lists, np.unique(num[anchor & ~asks[of]]), "kinds"), np.flatnonzero(~asks))
         queues = {}
 
-        def queue(anchor, p, f):
-            if (anchor, p, f) not in queues:
-                _, pool = z.near.rows(np.array([anchor]))
-                pool = pool[offered[f][pool]]
-                i = z.of_list[pool]
-                queues[anchor, p, f] = [(x, None) for x in i[np.lexsort((i, -score[p][pool]))].tolist()]
-            return queues[anchor, p, f]
-
-        for own in z.groups:
-            item, stars, rel, anchor = z.item[own], z.stars[own], z.relevant[own], z.anchor[own]
-            wanted, rows, p_id = item[rel], [], z.profile[own.start].as_py()
-            turn = np.lexsort((item[anchor], -stars[anchor]))
+        def offered(at, p, f):
+            """(item, score) of the places that reach a floor."""
+            at = at[near.kinds[at] >> FLOORS.index(f) & 1 == 1]
+            return near.items[at], near.sims[at] - round(p * UNIT) * (near.kinds[at] >> ALIKE & 1 == 1)
+
+        def queue(a, p, f):
+            if (a, p, f) not in queues:
+                i, score = offered(near.rows(np.array([a]))[1], p, f)
+                queues[a, p, f] = [(x, None) for x in i[np.lexsort((i, -score))].tolist()]
+            return queues[a, p, f]
+
+        who, place = np.flatnonzero(asks), np.cumsum(asks) - 1
+        out = {name: np.zeros((4, len(who))) for name in VARIANTS}
+        for k in np.flatnonzero(met):
+            g = own[k]
+            item, rel, likes = num[g], relevant[g], anchor[g]
+            wanted, turn, free = item[rel], np.lexsort((item[likes], -stars[g][likes])), pool(near, g)
             for name, (turns, p, f) in VARIANTS.items():
-                rank = None
-                _, pool = z.pools(own, offered[f], known)
-                if len(wanted) and turns:
+                if turns:
                     fold = _Fold(2, 50)
                     fold.items = set(item[~rel].tolist())
-                    for a in z.vec[own][anchor][turn].tolist():
+                    for a in item[likes][turn].tolist():
                         if fold.full:
                             break
                         fold.first_turn(a, queue(a, p, f))
-                    picked = {i: k + 1 for k, (i, _) in enumerate(fold.finished())}
+                    picked = {i: n + 1 for n, (i, _) in enumerate(fold.finished())}
+                    rank = np.array([picked.get(i, np.inf) for i in wanted.tolist()])
+                else:
+                    base, best, _ = _best_of(*offered(free, p, f))
+                    by = np.lexsort((base, -best))
+                    picked = dict(zip(base[by].tolist(), range(1, len(by) + 1)))
                     rank = np.array([picked.get(i, np.inf) for i in wanted.tolist()])
-                elif len(wanted):
-                    base, best, _ = _best_of(z.of_list[pool], score[p][pool])
-                    rank = _ranks(base, best[None], wanted)[0]
-                if len(wanted) or len(pool):
-                    rows.append((name, p_id, *((None,) * 4 if rank is None else _recall(rank)), len(pool) > 0))
-            yield _batch(rows, names, kinds)
+                out[name][:, place[k]] = _recall(rank)
+        profile = t.column("profile_id").take(pa.array(np.array([own[k].start for k in who], np.int64))).combine_chunks()
+        for name, (_, _, f) in VARIANTS.items():
+            there = bool(bits >> FLOORS.index(f) & 1)
+            if len(who):
+                r10, r20, r50, hit = out[name]
+                columns = [pa.array([name]).take(pa.array(np.zeros(len(who), np.int32))), profile, *map(pa.array, (r10, r20, r50, hit.astype(np.int32))), pa.array(np.full(len(who), there))]
+            elif there:
+                columns = [pa.array([name]), *(pa.nulls(1, k) for k in (pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32())), pa.array([True])]
+            else:
+                continue
+            yield pa.RecordBatch.from_arrays(columns, names=["variant", "profile_id", "r10", "r20", "r50", "hit20", "any"])
 
     return run
 
 
 def eval_ablate(s, d):
     """Recall with one part of the ranking taken away at a time: turns, title penalty, popularity floor, and all three; in one job."""
-    got = _folded(s, d, False, _ablated, "variant string, profile_id bigint, r10 double, r20 double, r50 double, hit20 int, any boolean")
+    lists, films, r = _stored(s, d, False)
+    lists = stored(s.read.schema("key bigint, items array<bigint>, sims array<double>").parquet(lists).mapInArrow(_kinds(films), LISTED))
+    got = by_slices(r, "profile_id", _ablated(lists), "variant string, profile_id bigint, r10 double, r20 double, r50 double, hit20 int, any boolean", ABLATED, s.sparkContext.defaultParallelism)
     mean = lambda c: F.round(F.avg(c), 6).alias(c)
     means = got.groupBy("variant").agg(mean("r10"), mean("r20"), mean("r50"), mean("hit20"), F.count("r10").alias("profiles"), F.max("any").alias("any"))
     return means.where("any and profiles > 0").drop("any")

@@ -7,6 +7,8 @@ lists empty, a book without a work number has no work.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,10 +70,14 @@ def unit_vectors(s: SparkSession, d: str, medium: str) -> DataFrame:
     return t.select("item_id", "vec_id", F.transform("w", lambda x: x / F.col("n")).alias("v"))
 
 
-def rated(s: SparkSession, d: str, medium: str) -> DataFrame:
-    """(profile_id, item_id, rating): the latest rating of each profile and item; books and series by the events on their vec_id."""
+def rated(s: SparkSession, d: str, medium: str, some: Callable[[DataFrame], DataFrame] = lambda t: t) -> DataFrame:
+    """(profile_id, item_id, rating): the latest rating of each profile and item; books and series by the events on their vec_id.
+
+    some: which films' rows to keep (by movie_id), before the latest are found.
+    """
     if medium == "film":
         t = table(s, d, "ratings").where(F.col("user_id").isNotNull() & F.col("movie_id").isNotNull() & F.col("rating").isNotNull() & ~F.isnan("rating"))
+        t = some(t.select("user_id", "movie_id", "rating", "rated_at", "loaded_at"))
         return t.groupBy(F.col("user_id").alias("profile_id"), F.col("movie_id").cast("string").alias("item_id")).agg(F.max_by("rating", F.struct("rated_at", "loaded_at", "rating")).alias("rating"))
     names = unit_vectors(s, d, medium).select(F.col("vec_id").alias("k"), "item_id")
     return ratings(s, d).withColumnRenamed("item_id", "k").join(names, "k").select("profile_id", "item_id", "rating")

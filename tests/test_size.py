@@ -76,3 +76,64 @@ def test_bands_in_rounds_find_the_same(spark, monkeypatch):
     once = run()
     monkeypatch.setattr(N, "PER_ROUND", 1)
     assert len(once) >= 60 and run() == once
+
+
+def test_eval_ablate_shuffles_no_other_films_ratings(spark):
+    n, mb = shuffled(spark, lambda: plans.QUERIES["eval_ablate"](spark, DATA).count())
+    assert n == 5 and mb < 0.8, (n, mb)  # 1.0 with ratings of films without vectors and neighbours as rows
+
+
+def test_ablation_ranks_only_what_a_list_holds(monkeypatch, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    import kinolex.plans.eval_queries as E
+
+    rng, films, folds = np.random.default_rng(4), 4000, []
+    near = {k: sorted(rng.choice(films, 100, replace=False).tolist()) for k in range(0, films, 2)}
+    sims = {k: np.sort(rng.integers(0, 40, 100) * 10_000_000).tolist() for k in near}  # with ties
+    kinds = {k: rng.integers(0, 8, 100).tolist() for k in near}
+    table = {"key": pa.array(near), "items": pa.array(near.values()), "sims": pa.array(sims.values(), pa.list_(pa.int32())), "kinds": pa.array(kinds.values(), pa.list_(pa.int8()))}
+    pq.write_table(pa.table(table), tmp_path / "part-0.parquet")
+    rows = []
+    for p in range(300):
+        own = rng.choice(films, 700 if p == 7 else int(rng.integers(3, 30)), replace=False).tolist()
+        held = 0 if p % 10 == 3 else len(own) // 5
+        rows += [(p, i, float(rng.choice([2.0, 3.5, 5.0])), n < held) for n, i in enumerate(own)]
+    t = pa.table(dict(zip(("profile_id", "num", "rating", "is_relevant"), map(pa.array, zip(*rows)))))
+
+    class Counted(E._Fold):
+        def __init__(self, *a):
+            folds.append(1)
+            super().__init__(*a)
+
+    monkeypatch.setattr(E, "_Fold", Counted)
+    got = {(r["variant"], r["profile_id"]): r for b in E._ablated(str(tmp_path))(t) for r in b.to_pylist()}
+    want, held = {}, 0
+    for p in range(300):
+        mine = [r for r in rows if r[0] == p]
+        known, wanted = {i for _, i, _, rel in mine if not rel}, [i for _, i, _, rel in mine if rel]
+        likes = [i for _, i, stars, rel in sorted(mine, key=lambda r: (-r[2], r[1])) if not rel and stars >= E.LIKE and i in near]
+        held += bool(wanted) and (len(wanted) > E.POOL or any(w in near[a] for w in wanted for a in likes))
+        for name, (turns, penalty, floor) in E.VARIANTS.items():
+            bit = 1 << E.FLOORS.index(floor)
+            queue = [sorted((round(penalty * 1e9) * (k >> E.ALIKE & 1) - s, i) for i, s, k in zip(near[a], sims[a], kinds[a]) if k & bit and i not in known) for a in likes]
+            if turns:
+                order, more = [], True
+                while more and len(order) < 50:
+                    more = False
+                    for q in queue:
+                        for i in [i for _, i in q if i not in order][:2]:
+                            if len(order) < 50:
+                                order, more = [*order, i], True
+            else:
+                best = {}
+                for less, i in sum(queue, []):
+                    best[i] = min(best.get(i, less), less)
+                order = sorted(best, key=lambda i: (best[i], i))
+            if wanted:
+                want[name, p] = [round(len(set(order[:k]) & set(wanted)) / len(wanted), 6) for k in (10, 20, 50)]
+    assert {k: [r["r10"], r["r20"], r["r50"]] for k, r in got.items()} == want and all(r["any"] for r in got.values())
+    assert sum(x[2] > 0 for x in want.values()) > 50 and len(folds) == 3 * held < 3 * 270
+    alone = t.filter(pa.array([r[0] == 3 for r in rows]))  # nothing relevant, but candidates
+    assert [(r["r10"], r["any"]) for b in E._ablated(str(tmp_path))(alone) for r in b.to_pylist()] == [(None, True)] * 5
